@@ -21,11 +21,6 @@ def seconds(micros: Column) -> Column:
     return micros / F.lit(1_000_000.0)
 
 
-def get_or_null(values: Column, i: Column) -> Column:
-    """Element at a 0-based index, NULL outside the array."""
-    return F.get(values, i)
-
-
 def hash_key(seed: str | int, *columns: Column | str) -> Column:
     """Reproducible pseudo-random text key of a row; sorting by it shuffles."""
     parts = [F.lit(str(seed))] + [F.col(c) if isinstance(c, str) else c for c in columns]

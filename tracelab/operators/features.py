@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.columns import direction_code, get_or_null, seconds
+from tracelab.functions.columns import direction_code, seconds
 from tracelab.operators.ordered import GROUP_ROWS, OrderedGroups
 
 # The default widths of the feature families.
@@ -122,8 +122,9 @@ def _first_values(rank: str, value: Column, keep: Column) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
-def _padded(values: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: get_or_null(values, i))
+def _padded(values: Column, n: int, type_: str = "bigint") -> Column:
+    """Filled up with NULL to length n. (No lambda here: it would evaluate ``values`` per element.)"""
+    return F.concat(values, F.array_repeat(F.lit(None).cast(type_), F.lit(n) - F.size(values)))
 
 
 def initial_directions(cells: DataFrame, num_cells: int = NUM_DIRECTIONS) -> DataFrame:
@@ -132,7 +133,7 @@ def initial_directions(cells: DataFrame, num_cells: int = NUM_DIRECTIONS) -> Dat
     first = cells.select("exampleid", "t_us", "cellid", "ingoing").withColumn("position", F.row_number().over(w))
     first = first.where(F.col("position") <= num_cells)
     values = _first_values("position", direction_code(F.col("ingoing")), F.lit(True))
-    return first.groupBy("exampleid").agg(_padded(values, num_cells).alias("direction_cell"))
+    return first.groupBy("exampleid").agg(_padded(values, num_cells, "int").alias("direction_cell"))
 
 
 def _outgoing(n: int) -> Column:
@@ -141,9 +142,7 @@ def _outgoing(n: int) -> Column:
 
 def _steps(values: Column, n: int) -> Column:
     """Difference of neighbours, NULL where either is absent."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: get_or_null(values, i + 1) - get_or_null(values, i)
-    )
+    return _padded(F.zip_with(F.slice(values, 2, n), F.slice(values, 1, n), lambda after, at: after - at), n)
 
 
 def outgoing_positions(numbered: DataFrame, num_cells: int = NUM_POSITIONS) -> DataFrame:
@@ -166,9 +165,7 @@ def _block_sums(num: int, size: int) -> Column:
 
 def _block_counts(sums: Column, total: Column, num: int) -> Column:
     """Outgoing cells per block, NULL where there are none."""
-    reached = F.transform(
-        F.sequence(F.lit(0), F.lit(num - 1)), lambda i: F.coalesce(get_or_null(sums, i), total)
-    )
+    reached = F.concat(sums, F.array_repeat(total, F.lit(num) - F.size(sums)))
     shifted = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(reached, 1, num - 1))
     return F.zip_with(reached, shifted, lambda a, b: F.nullif(a - b, F.lit(0).cast("bigint")))
 
@@ -254,7 +251,7 @@ def feature_families(numbered: DataFrame, widths: Widths = Widths()) -> DataFram
         "total_elapsed_time",
         "mean_intercell_time",
         "standard_deviation_intercell_time",
-        _padded(F.col("_d"), w.directions).alias("direction_cell"),
+        _padded(F.col("_d"), w.directions, "int").alias("direction_cell"),
         _padded(F.slice("_p", 1, w.positions), w.positions).alias("outgoing_cell_position"),
         _steps(F.col("_p"), w.differences).alias("outgoing_cell_position_difference"),
         _block_counts(F.col("_s"), F.col("total_number_outgoing_cells"), w.windows).alias(
@@ -312,14 +309,13 @@ def feature_names(widths: Widths = Widths()) -> list[str]:
 
 def impute(df: DataFrame) -> DataFrame:
     """NULL becomes 0 in every numeric column and array."""
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "array":
-            zero = F.lit(0).cast(f.dataType.elementType)
-            out.append(F.transform(f.name, lambda x, z=zero: F.coalesce(x, z)).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out).fillna(0)
+    out = [
+        f"transform({f.name}, x -> coalesce(x, cast(0 as {f.dataType.elementType.simpleString()}))) as {f.name}"
+        if f.dataType.typeName() == "array"
+        else f.name
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*out).fillna(0)
 
 
 def as_array(df: DataFrame) -> Column:

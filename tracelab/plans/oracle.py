@@ -137,3 +137,184 @@ ORACLE: dict[str, str] = {
     "burst_lengths": _with(FEATURE_VIEWS) + LENGTHS,
     "master_matrix": _with(MASTER_VIEWS) + "select * from master",
 }
+
+# --- world, sites, status -------------------------------------------------------------
+
+SITES_SORTED = """sorted as (
+  select hsid, hs_url, is_sd, sorted_class, t_sort
+  from sites join (select hsid, max(t_scrape) as t_sort from examples group by hsid) using (hsid))"""
+RECENT = """recent as (
+  select is_sd, hs_url, arg_max(hsid, (t_sort, hsid)) as hsid from sorted
+  where t_sort >= timestamp '2001-08-02' - interval 364 day group by is_sd, hs_url)"""
+CLASSES = """classes as (
+  select url, case when contains(html, 'lang="fr"') then 'sd_fr'
+                   when contains(html, 'lang="de"') then 'sd_de'
+                   when not contains(html, 'lang="en"') then 'nonmonitored' end as class_name
+  from pages)"""
+
+_IMPUTED = "select exampleid, coalesce(columns(* exclude (exampleid)), 0) from master"
+
+ORACLE |= {
+    "labelled_world": _with(MASTER_VIEWS, EXAMPLES, SITES)
+    + "select master.*, is_sd from master join examples using (exampleid) join sites using (hsid)",
+    "labelled_world_open": _with(TRACES, EXAMPLES, SITES, f"f_numbers as ({NUMBERS})")
+    + "select f_numbers.*, is_sd, hs_url from f_numbers join examples using (exampleid) join sites using (hsid)",
+    "imputed_matrix": _with(MASTER_VIEWS) + _IMPUTED,
+    "ordered_trace": _with(TRACES) + "select exampleid, ingoing, t_us from traces order by exampleid, t_us, cellid",
+    "merged_cells": _with(TRACES, EXAMPLES, SITES)
+    + """select exampleid, hsid, crawlid, t_scrape, hs_url, is_sd, sorted_class, cellid, ingoing, circuit, stream,
+         command, length, t_us from examples join sites using (hsid) join traces using (exampleid)""",
+    "recent_sites": _with(EXAMPLES, SITES, SITES_SORTED, RECENT) + "select is_sd, hs_url, hsid from recent",
+    "site_classes": _with(EXAMPLES, SITES, SITES_SORTED, RECENT)
+    + """select case when is_sd then 'sd_038' else 'nonmonitored' end as class_name, hs_url, hsid from recent""",
+    "url_ids": _with(EXAMPLES, SITES, SITES_SORTED, RECENT)
+    + "select hs_url, arg_max(hsid, (is_sd, hsid)) as hsid from recent group by hs_url",
+    "page_links": """select distinct url from (
+         select 'http://directory' || unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as url from pages
+         union all select url from pages)""",
+    "empty_pages": "select url from pages where not regexp_matches(html, '[0-9a-z]{16}\\.onion')",
+    "page_classes": _with(CLASSES) + "select url, class_name from classes",
+    "site_append": _with(CLASSES)
+    + """select split_part(url, 'onion', 1) || 'onion' as hs_url, contains(class_name, 'sd') as is_sd,
+         case when contains(class_name, 'sd') then split_part(class_name, '_', 2) else 'N/A' end as sd_version,
+         true as is_current, class_name as sorted_class, timestamp '2001-08-02' as t_sort
+         from classes where class_name is not null""",
+    "daily_examples": _with(EXAMPLES)
+    + """, counts as (select t_scrape::date as day, count(*) as n from examples group by 1),
+         days as (select unnest(generate_series((select min(day) from counts), (select max(day) from counts),
+                                                interval 1 day))::date as day)
+         select day, coalesce(n, 0) as n from days left join counts using (day)""".replace(", counts", ",\ncounts", 1),
+    "daily_distinct_sites": _with(EXAMPLES)
+    + "select t_scrape::date as day, count(distinct hsid) as n_sites from examples group by 1",
+    "distinct_sites": "select count(distinct o_custkey) as n_sites from orders",
+    "totals": """select 'examples' as table_name, count(*) as n from orders
+         union all select 'sites', count(*) from customer union all select 'traces', count(*) from events""",
+    "last_seen": _with(EXAMPLES, SITES, SITES_SORTED) + "select max(t_sort) as last_seen from sorted",
+}
+
+# --- sampling ------------------------------------------------------------------------
+
+DEV = "dev as (select * from examples order by exampleid limit 100 offset 100)"
+
+
+def _shuffled(seed: int, key: str, by: str, table: str, extra: str = "*") -> str:
+    part = f"partition by {by} " if by else ""
+    return f"(select {extra}, row_number() over ({part}order by md5(concat('{seed}:', {key})), {key}) as r from {table})"
+
+
+SCORES = """scores as (
+  select l.doc_id as exampleid, quality as label, n_chars::double as score
+  from labels l join documents d on l.doc_id = d.doc_id)"""
+FOLDED = f"folded as (select exampleid, label, score, ((r - 1) % 10)::int as fold from {_shuffled(1, 'exampleid', 'label', 'scores')})"
+
+ORACLE |= {
+    "dev_sample": _with(EXAMPLES, DEV) + "select * from dev",
+    "semi_sites": _with(EXAMPLES, SITES, DEV) + "select * from sites where hsid in (select hsid from dev)",
+    "semi_cells": _with(TRACES, EXAMPLES, DEV) + "select * from traces where exampleid in (select exampleid from dev)",
+    "masked_sample": "select * replace ('X' as o_orderstatus, '1A2B3C4D' as o_orderpriority) from orders",
+    "pseudonymised_sites": _with(SITES)
+    + """select hsid, 'http://' || lower(n_name) || '1234.onion' as hs_url, is_sd, sorted_class
+         from sites join nation
+         on n_nationkey = ('0x' || substr(md5(concat('7:', hsid)), 1, 8))::bigint % (select count(*) from nation)""",
+    "stratified_folds": _with(SCORES, FOLDED) + "select exampleid, label, fold from folded",
+    "interleave_plan": _with(SITES)
+    + f""", ranked as (select * from {_shuffled(3, 'hsid', 'is_sd', 'sites')}),
+         chunk as (select count(*) // 40 as c from sites where not is_sd)
+         select i::int as round, is_sd, r as visit_order, hsid from ranked, range(40) t(i) where is_sd
+         union all
+         select ((r - 1) // c)::int, is_sd, r - ((r - 1) // c) * c, hsid from ranked, chunk
+         where not is_sd and c > 0 and (r - 1) // c < 40""",
+    "shuffled_sites": _with(SITES) + f"select hsid, r as rank from {_shuffled(5, 'hsid', '', 'sites')}",
+    "open_world_split": _with(EXAMPLES, SITES)
+    + f""", world as (select exampleid, hs_url, is_sd::int as label from examples join sites using (hsid)),
+         outside as (select distinct hs_url from world where label = 0),
+         seen as (select hs_url, r <= floor((select count(*) from outside) * 0.2::double) as is_train
+                  from {_shuffled(2, 'hs_url', '', 'outside')})
+         select exampleid, hs_url, label, is_train from world join seen using (hs_url) where label = 0
+         union all
+         select exampleid, hs_url, label, (r - 1) % 10 <> 0
+         from {_shuffled(2, 'exampleid', '', '(select * from world where label = 1)')}""",
+}
+
+# --- evaluation ----------------------------------------------------------------------
+
+SHARES = [0.01, 0.05, 0.1, 0.5, 1, 5, 10]
+SHARE_NAMES = [
+    "0_point_01_percent", "0_point_05_percent", "0_point_1_percent", "0_point_5_percent", "1_percent", "5_percent",
+    "10_percent",
+]
+SHARE_VIEW = (
+    "shares as (select * from (values "
+    + ", ".join(f"({t / 100!r}::double, '{n}')" for t, n in zip(SHARES, SHARE_NAMES))
+    + ") v(share, name))"
+)
+# Every row is compared with the cut-off score found by rank, unlike the Spark query.
+FLAGGED = """ranked as (
+  select g, label, score, row_number() over (partition by g order by score desc) - 1 as idx,
+         count(*) over (partition by g) as n from scored),
+cutoffs as (
+  select g, share, name, score as cutoff from ranked, shares
+  where idx = least(floor(n * share)::bigint, n - 1)),
+counted as (
+  select g, share, name, cutoff, sum(label) filter (where score > cutoff) as tp,
+         count(*) filter (where score > cutoff) as flagged, sum(label) as pos
+  from cutoffs join scored using (g) group by all),
+quality as (
+  select g, share, name, cutoff, coalesce(tp / nullif(flagged, 0), 0)::double as precision,
+         coalesce(tp / nullif(pos, 0), 0)::double as recall,
+         coalesce(2 * tp / nullif(flagged + pos, 0), 0)::double as f1 from counted)"""
+AREA = """area as (
+  select g, sum(case when label = 1 then lower + tied / 2.0 end) / nullif(sum(label) * (count(*) - sum(label)), 0) as auc
+  from (select g, label,
+               coalesce(sum(1 - label) over (partition by g order by score groups between unbounded preceding and 1 preceding), 0) as lower,
+               sum(1 - label) over (partition by g, score) as tied
+        from scored) group by g)"""
+_RECORD = ", ".join(
+    f"round(max(case when name = '{n}' then {m} end), 6) as {m}_at_{n}" for m in ("precision", "recall", "f1") for n in SHARE_NAMES
+)
+_RAW_RECORD = ", ".join(
+    f"max(case when name = '{n}' then {m} end) as {m}_at_{n}" for m in ("precision", "recall", "f1") for n in SHARE_NAMES
+)
+_AVERAGES = ", ".join(
+    f"round(avg({m}_at_{n}), 6) as {m}_at_{n}" for m in ("precision", "recall", "f1") for n in SHARE_NAMES
+)
+CURVE = """curve as (
+  select g, score, (sum(neg) over w)::bigint as fp, (sum(pos) over w)::bigint as tp,
+         (sum(neg) over (partition by g))::bigint as n_neg, (sum(pos) over (partition by g))::bigint as n_pos
+  from (select g, score, sum(label) as pos, sum(1 - label) as neg from scored group by g, score)
+  window w as (partition by g order by score desc rows unbounded preceding)),
+points as (
+  select * from curve
+  union all select g, max(score) + 1, 0, 0, max(n_neg), max(n_pos) from curve group by g)"""
+_ONE = "scored as (select 0 as g, label, score from scores)"
+_BY_FOLD = "scored as (select fold as g, label, score from folded)"
+
+ORACLE |= {
+    "roc_points": _with(SCORES, _ONE, CURVE)
+    + "select score as threshold, round(fp / n_neg, 6) as fpr, round(tp / n_pos, 6) as tpr from points",
+    "roc_corners": _with(SCORES, _ONE, CURVE)
+    + """select score as threshold, round(fp / n_neg, 6) as fpr, round(tp / n_pos, 6) as tpr from (
+           select *, fp - lag(fp) over w as dx, tp - lag(tp) over w as dy, row_number() over w as i,
+                  lead(fp) over w - fp as next_dx, lead(tp) over w - tp as next_dy
+           from points window w as (order by score desc))
+         where i <= 2 or next_dx is null or next_dx <> dx or next_dy <> dy""",
+    "auc": _with(SCORES, _ONE, AREA) + "select round(auc, 6) as auc from area",
+    "precision_at_k": _with(SCORES, _ONE, SHARE_VIEW, FLAGGED)
+    + """select share, cutoff, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1
+         from quality""",
+    "fold_metrics": _with(SCORES, FOLDED, _BY_FOLD, SHARE_VIEW, FLAGGED, AREA)
+    + f"select g as fold, round(max(auc), 6) as auc, {_RECORD} from quality join area using (g) group by g",
+    "fold_averages": _with(SCORES, FOLDED, _BY_FOLD, SHARE_VIEW, FLAGGED, AREA)
+    + f"""select 'n_chars' as model_id, round(avg(auc), 6) as auc, {_AVERAGES} from (
+           select g, max(auc) as auc, {_RAW_RECORD} from quality join area using (g) group by g)""",
+    "mean_roc": _with(SCORES, FOLDED, _BY_FOLD, CURVE)
+    + """, steps as (
+           select *, lag(fp, 1, 0) over w as fp0, lag(tp, 1, 0) over w as tp0 from curve
+           window w as (partition by g order by score desc)),
+         grid as (
+           select g, i, case when i = 0 then 0.0 when i = 299 then 1.0 else
+                    (tp0 + (tp - tp0) * (i * n_neg / 299.0::double - fp0) / nullif(fp - fp0, 0)) / n_pos end as tpr
+           from steps, range(300) t(i)
+           where (fp0 * 299 <= i * n_neg and i * n_neg < fp * 299) or (i = 299 and fp = n_neg and tp = n_pos))
+         select i, round(i / 299.0::double, 6) as fpr, round(avg(tpr), 6) as tpr from grid group by i""",
+}

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelab.operators import evaluation as ev
 from tracelab.operators import features as ft
+from tracelab.operators import sampling as sm
+from tracelab.operators import sites as st
+from tracelab.operators import status
+from tracelab.operators import world as wd
 from tracelab.sources import adapters as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +26,8 @@ def query(fn):
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded so that two engines agree on the printed value."""
-    return df.select(
-        *[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields]
+    return df.selectExpr(
+        *[f"round({f.name}, {digits}) as {f.name}" if f.dataType.typeName() == "double" else f.name for f in df.schema.fields]
     )
 
 
@@ -106,3 +112,205 @@ def burst_lengths(spark, folder):
 @query
 def master_matrix(spark, folder):
     return rounded(ft.widen(ft.feature_families(numbered(spark, folder))))
+
+
+# --- world, sites, status -------------------------------------------------------------
+
+NOW = datetime(2001, 8, 2)
+LOOKBACK = "52w"
+LINK_PATTERN = 'href="([^"]+)"'
+CLASS_RULES = [
+    ("sd_fr", "contains(text, 'lang=\"fr\"')"),
+    ("sd_de", "contains(text, 'lang=\"de\"')"),
+    ("nonmonitored", "not contains(text, 'lang=\"en\"')"),
+]
+
+
+@query
+def labelled_world(spark, folder):
+    features = ft.widen(ft.feature_families(numbered(spark, folder)))
+    return rounded(wd.labelled_world(features, src.examples(spark, folder), src.sites(spark, folder)))
+
+
+@query
+def labelled_world_open(spark, folder):
+    features = ft.cell_numbers(src.traces(spark, folder))
+    return wd.labelled_world(features, src.examples(spark, folder), src.sites(spark, folder), "open")
+
+
+@query
+def imputed_matrix(spark, folder):
+    return rounded(ft.widen(ft.impute(ft.feature_families(numbered(spark, folder)))))
+
+
+@query
+def ordered_trace(spark, folder):
+    return src.traces(spark, folder).orderBy("exampleid", "t_us", "cellid").select("exampleid", "ingoing", "t_us")
+
+
+@query
+def merged_cells(spark, folder):
+    return wd.merged_cells(src.examples(spark, folder), src.sites(spark, folder), src.traces(spark, folder))
+
+
+@query
+def recent_sites(spark, folder):
+    return st.recent_sites(src.sites_sorted(spark, folder), NOW, LOOKBACK)
+
+
+@query
+def site_classes(spark, folder):
+    return st.site_classes(src.sites_sorted(spark, folder), NOW, LOOKBACK)
+
+
+@query
+def url_ids(spark, folder):
+    return st.url_ids(st.recent_sites(src.sites_sorted(spark, folder), NOW, LOOKBACK))
+
+
+@query
+def page_links(spark, folder):
+    return st.page_links(src.table(spark, folder, "pages"), LINK_PATTERN, 1, "http://directory")
+
+
+@query
+def empty_pages(spark, folder):
+    return st.empty_pages(src.table(spark, folder, "pages"))
+
+
+@query
+def page_classes(spark, folder):
+    return st.classified(src.table(spark, folder, "pages"), CLASS_RULES)
+
+
+@query
+def site_append(spark, folder):
+    classes = st.classified(src.table(spark, folder, "pages"), CLASS_RULES)
+    return st.site_rows(classes, NOW)
+
+
+@query
+def daily_examples(spark, folder):
+    return status.rows_per_day(src.examples(spark, folder), "t_scrape")
+
+
+@query
+def daily_distinct_sites(spark, folder):
+    return status.sites_per_day(src.examples(spark, folder), "t_scrape")
+
+
+@query
+def distinct_sites(spark, folder):
+    return status.distinct_sites(src.examples(spark, folder))
+
+
+@query
+def totals(spark, folder):
+    return status.totals(
+        {"examples": src.examples(spark, folder), "sites": src.sites(spark, folder), "traces": src.traces(spark, folder)}
+    )
+
+
+@query
+def last_seen(spark, folder):
+    return status.last_seen(src.sites_sorted(spark, folder), "t_sort")
+
+
+# --- sampling ------------------------------------------------------------------------
+
+
+def _dev_examples(spark, folder):
+    return sm.row_slice(src.examples(spark, folder), "exampleid", 100, 200)
+
+
+@query
+def dev_sample(spark, folder):
+    return _dev_examples(spark, folder)
+
+
+@query
+def semi_sites(spark, folder):
+    return sm.restrict(src.sites(spark, folder), _dev_examples(spark, folder), "hsid")
+
+
+@query
+def semi_cells(spark, folder):
+    return sm.restrict(src.traces(spark, folder), _dev_examples(spark, folder), "exampleid")
+
+
+@query
+def masked_sample(spark, folder):
+    orders = src.table(spark, folder, "orders")
+    return sm.masked(orders, {"o_orderstatus": "X", "o_orderpriority": "1A2B3C4D"})
+
+
+@query
+def pseudonymised_sites(spark, folder):
+    words = src.table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("i"), F.lower("n_name").alias("word"))
+    return sm.pseudonymised(src.sites(spark, folder), words, seed=7)
+
+
+@query
+def stratified_folds(spark, folder):
+    labels = src.scores(spark, folder).select("exampleid", "label")
+    return sm.stratified_folds(labels, "exampleid", k=10, seed=1)
+
+
+@query
+def interleave_plan(spark, folder):
+    return sm.interleave_plan(src.sites(spark, folder), ratio=40, seed=3)
+
+
+@query
+def shuffled_sites(spark, folder):
+    return sm.shuffled_rank(src.sites(spark, folder).select("hsid"), "hsid", [], seed=5)
+
+
+@query
+def open_world_split(spark, folder):
+    world = src.examples(spark, folder).join(src.sites(spark, folder), "hsid")
+    world = world.select("exampleid", "hs_url", F.col("is_sd").cast("int").alias("label"))
+    return sm.open_world_split(world, 0.20, k=10, seed=2)
+
+
+# --- evaluation ----------------------------------------------------------------------
+
+
+def _fold_scores(spark, folder):
+    return sm.stratified_folds(src.scores(spark, folder), "exampleid", k=10, seed=1)
+
+
+@query
+def roc_points(spark, folder):
+    return rounded(ev.roc_points(src.scores(spark, folder)), 6)
+
+
+@query
+def roc_corners(spark, folder):
+    return rounded(ev.roc_points(src.scores(spark, folder), drop_intermediate=True), 6)
+
+
+@query
+def auc(spark, folder):
+    return rounded(ev.auc(src.scores(spark, folder)), 6)
+
+
+@query
+def precision_at_k(spark, folder):
+    return rounded(ev.top_share(src.scores(spark, folder), [t / 100 for t in ev.THRESHOLDS]), 6)
+
+
+@query
+def fold_metrics(spark, folder):
+    return rounded(ev.fold_metrics(_fold_scores(spark, folder), ["fold"]), 6)
+
+
+@query
+def fold_averages(spark, folder):
+    folds = ev.fold_metrics(_fold_scores(spark, folder).withColumn("model_id", F.lit("n_chars")), ["model_id", "fold"])
+    return rounded(ev.average_metrics(folds, ["model_id"]), 6)
+
+
+@query
+def mean_roc(spark, folder):
+    return rounded(ev.mean_roc(_fold_scores(spark, folder)), 6)
