@@ -318,3 +318,46 @@ ORACLE |= {
            where (fp0 * 299 <= i * n_neg and i * n_neg < fp * 299) or (i = 299 and fp = n_neg and tp = n_pos))
          select i, round(i / 299.0::double, 6) as fpr, round(avg(tpr), 6) as tpr from grid group by i""",
 }
+
+# --- neighbours ----------------------------------------------------------------------
+
+INSTANCES = "instances as (select vec_id as id, label as site, embedding::double[] as f from embeddings)"
+WORLDS = "worlds as (select id, least(site, 8) as site, f from instances)"
+_L1 = "list_sum(list_transform(list_zip(a.f, b.f), lambda x: case when x[1] = -1 or x[2] = -1 then 0 else abs(x[1] - x[2]) end))"
+
+
+def _neighbours(table: str, dist: str, k: int, relation: str = "'any'") -> str:
+    return f"""near as (
+  select * from (
+    select *, row_number() over (partition by id, relation order by dist, neighbour) as rank from (
+      select a.id, b.id as neighbour, b.site as neighbour_site, {relation} as relation, {dist} as dist
+      from {table} a join {table} b on a.id <> b.id))
+  where rank <= {k})"""
+
+
+_VOTES = """votes as (
+  select id, site, case when lo = hi and n = 2 then lo else 8 end as guess
+  from worlds left join (
+    select id, min(neighbour_site) as lo, max(neighbour_site) as hi, count(*) as n from near group by id) using (id))"""
+
+ORACLE |= {
+    "knn_neighbours": _with(INSTANCES, _neighbours("instances", _L1, 5))
+    + "select id, rank, neighbour, round(dist, 6) as dist from near",
+    "knn_euclidean": _with(INSTANCES, _neighbours("instances", "list_distance(a.f, b.f)", 5))
+    + "select id, rank, neighbour, round(dist, 6) as dist from near",
+    "knn_same_other": _with(
+        INSTANCES, _neighbours("instances", _L1, 5, "case when a.site = b.site then 'same' else 'other' end")
+    )
+    + "select id, relation, rank, neighbour, round(dist, 6) as dist from near",
+    "knn_vote": _with(INSTANCES, WORLDS, _neighbours("worlds", _L1, 2), _VOTES) + "select id, site, guess from votes",
+    "knn_accuracy": _with(INSTANCES, WORLDS, _neighbours("worlds", _L1, 2), _VOTES)
+    + """select round(avg((guess = site)::int) filter (where site <> 8), 6) as tp,
+         round(avg((guess = site)::int) filter (where site = 8), 6) as tn from votes""",
+    "knn_stacked": _with(INSTANCES)
+    + "select id, site, case when site < 8 then 'closed' else 'open' end as world from instances",
+    "knn_distance": _with(INSTANCES)
+    + """select a.id, a.site, round(list_sum(list_transform(list_zip(a.f, b.f, range(64)),
+           lambda x: case when x[1] = -1 or x[2] = -1 then 0 else abs(x[1] - x[2]) end * (0.5 + x[3] / 64.0::double))), 6) as dist
+         from instances a join instances b using (site)
+         where b.id = (select min(id) from instances c where c.site = a.site)""",
+}

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tracelab.operators import evaluation as ev
 from tracelab.operators import features as ft
+from tracelab.operators import neighbours as nb
 from tracelab.operators import sampling as sm
 from tracelab.operators import sites as st
 from tracelab.operators import status
+from tracelab.operators import weights as wt
 from tracelab.operators import world as wd
 from tracelab.sources import adapters as src
 
@@ -314,3 +316,70 @@ def fold_averages(spark, folder):
 @query
 def mean_roc(spark, folder):
     return rounded(ev.mean_roc(_fold_scores(spark, folder)), 6)
+
+
+# --- neighbours ----------------------------------------------------------------------
+
+FIRST_OPEN_SITE = 8  # sites from here on act as the open world
+
+
+def _knn_instances(spark, folder):
+    i = src.instances(spark, folder)
+    return i.select("id", nb.site_class(F.col("site"), FIRST_OPEN_SITE, F.col("site") >= FIRST_OPEN_SITE).alias("site"), "features")
+
+
+def _flat_weights(dims=64):
+    return [1.0] * dims
+
+
+@query
+def knn_neighbours(spark, folder):
+    i = src.instances(spark, folder)
+    return rounded(nb.nearest(i, i, 5).select("id", "rank", "neighbour", "dist"), 6)
+
+
+@query
+def knn_euclidean(spark, folder):
+    i = src.instances(spark, folder)
+    return rounded(nb.nearest(i, i, 5, metric="euclidean", missing=None).select("id", "rank", "neighbour", "dist"), 6)
+
+
+@query
+def knn_same_other(spark, folder):
+    i = src.instances(spark, folder)
+    found = nb.nearest(i, i, 5, relations=("same", "other"))
+    return rounded(found.select("id", "relation", "rank", "neighbour", "dist"), 6)
+
+
+@query
+def knn_vote(spark, folder):
+    i = _knn_instances(spark, folder)
+    return nb.unanimous_vote(nb.nearest(i, i, 2), i, 2, FIRST_OPEN_SITE)
+
+
+@query
+def knn_accuracy(spark, folder):
+    return rounded(nb.vote_accuracy(knn_vote(spark, folder), FIRST_OPEN_SITE), 6)
+
+
+@query
+def knn_stacked(spark, folder):
+    i = src.instances(spark, folder).drop("features")
+    closed = F.col("site") < FIRST_OPEN_SITE
+    return nb.stacked(i.where(closed), i.where(~closed))
+
+
+@query
+def knn_distance(spark, folder):
+    i = src.instances(spark, folder)
+    first = i.groupBy("site").agg(F.min_by("features", "id").alias("first"))
+    weights = F.transform("features", lambda x, j: F.lit(0.5) + j / F.lit(64.0))
+    return rounded(
+        i.join(first, "site").select("id", "site", nb.weighted_distance(F.col("features"), F.col("first"), weights).alias("dist")), 6
+    )
+
+
+@query
+def knn_weights(spark, folder):
+    learned = wt.learn_weights(_knn_instances(spark, folder), rounds=3)
+    return spark.createDataFrame(list(enumerate(learned)), "feature int, weight double")
