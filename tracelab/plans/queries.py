@@ -16,7 +16,9 @@ from tracelab.operators import sites as st
 from tracelab.operators import status
 from tracelab.operators import weights as wt
 from tracelab.operators import world as wd
+from tracelab.plans import experiment as ex
 from tracelab.sources import adapters as src
+from tracelab.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -383,3 +385,76 @@ def knn_distance(spark, folder):
 def knn_weights(spark, folder):
     learned = wt.learn_weights(_knn_instances(spark, folder), rounds=3)
     return spark.createDataFrame(list(enumerate(learned)), "feature int, weight double")
+
+
+# --- classifiers ---------------------------------------------------------------------
+
+
+def world_rows(spark, folder, world="closed"):
+    """(exampleid, label, features[, hs_url]) of all traces with a known site."""
+    families = ft.feature_families(numbered(spark, folder))
+    return wd.training_rows(wd.labelled_world(families, src.examples(spark, folder), src.sites(spark, folder), world))
+
+
+def _instance_rows(spark, folder):
+    """Instances as two classes: the first half of the sites against the others."""
+    i = src.instances(spark, folder)
+    return i.select(F.col("id").alias("exampleid"), (F.col("site") < 5).cast("int").alias("label"), "features")
+
+
+def _model(name, model_type, **parameters):
+    def run(spark, folder):
+        rows = world_rows(spark, folder)
+        return ex.train_eval_all_folds(rows, [ex.Experiment(model_type, parameters)], ex.Options(num_kfolds=3)).scores
+
+    run.__name__ = name
+    return query(run)
+
+
+_FOREST = {"n_estimators": 25, "max_depth": 10, "max_features": "sqrt", "criterion": "gini", "min_samples_split": 2}
+
+_model("model_random_forest", "RandomForest", **_FOREST)
+_model("model_decision_tree", "DecisionTreeClassifier", max_depth=5, max_features="sqrt", criterion="gini", min_samples_split=2)
+_model("model_gradient_boosting", "GradientBoostingClassifier", n_estimators=10, learning_rate=0.1, subsample=0.5, max_depth=3)
+_model("model_logistic_regression", "LogisticRegression", C_reg=0.01, penalty="l2")
+_model("model_svm", "SVM", C_reg=0.01, kernel="linear")
+_model("model_sgd_log", "SGDClassifier", loss="log", penalty="elasticnet")
+_model("model_sgd_modified_huber", "SGDClassifier", loss="modified_huber", penalty="l1")
+_model("model_kneighbors", "KNeighborsClassifier", n_neighbors=5, weights="distance", algorithm="auto")
+_model("model_gaussian_nb", "GaussianNB")
+_model("model_ada_boost", "AdaBoost", algorithm="SAMME.R", n_estimators=10, learning_rate=0.1)
+_model("model_extra_trees", "ExtraTrees", **{**_FOREST, "n_estimators": 10, "max_depth": 3, "max_features": "log2"})
+_model(
+    "model_bagging",
+    "RandomForestBagging",
+    **{**_FOREST, "n_estimators": 10, "max_depth": 5},
+    max_samples=0.5,
+    bootstrap=True,
+    bootstrap_features=False,
+    n_estimators_bag=10,
+    max_features_bag=2,
+)
+_model(
+    "model_boosting",
+    "RandomForestBoosting",
+    **{**_FOREST, "n_estimators": 10, "max_depth": 5, "max_features": 2},
+    algorithm="SAMME",
+    learning_rate=0.01,
+    n_estimators_boost=5,
+)
+
+
+@query
+def model_records(spark, folder):
+    rows = durable(world_rows(spark, folder))
+    experiments = [
+        ex.Experiment("GaussianNB", {}),
+        ex.Experiment("DecisionTreeClassifier", {"max_depth": 5, "max_features": "sqrt", "criterion": "gini", "min_samples_split": 2}),
+    ]
+    return ex.model_records(ex.train_eval_all_folds(rows, experiments, ex.Options(num_kfolds=3)), rows)
+
+
+@query
+def model_open_world(spark, folder):
+    rows = world_rows(spark, folder, "open")
+    return ex.train_eval_all_folds(rows, [ex.Experiment("GaussianNB", {})], ex.Options(world="open")).scores
