@@ -6,6 +6,7 @@ the positive class. Parameters carry the names of the experiment grid.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -205,6 +206,16 @@ def bagging(p: dict, train: DataFrame, seed: int) -> Fitted:
     return Fitted(lambda rows: _averaged(parts, rows), None, [m for m, _ in parts])
 
 
+def _binned(cuts: np.ndarray) -> Callable[[Column], Column]:
+    """Features replaced by the number of cut points below them."""
+    points = F.from_json(F.lit(json.dumps(cuts.T.tolist())), "array<array<double>>")
+
+    def view(features: Column) -> Column:
+        return F.zip_with(features, points, lambda x, c: F.size(F.filter(c, lambda v: v < x)).cast("double"))
+
+    return view
+
+
 def extra_trees(p: dict, train: DataFrame, seed: int, cuts_per_feature: int = 7) -> Fitted:
     """Trees that may split only at cut points drawn at random per tree and feature."""
     rng = np.random.default_rng(seed)
@@ -217,14 +228,7 @@ def extra_trees(p: dict, train: DataFrame, seed: int, cuts_per_feature: int = 7)
     for t in range(p["n_estimators"]):
         cuts = np.sort(rng.uniform(lo, hi, size=(cuts_per_feature, len(lo))), axis=0)
 
-        def view(features: Column, cuts=cuts) -> Column:
-            # number of cut points below the value, added up one set of cut points at a time
-            binned = F.transform(features, lambda x: F.lit(0.0))
-            for row in cuts:
-                above = F.zip_with(features, literal_array(row), lambda x, c: F.when(x > c, 1.0).otherwise(0.0))
-                binned = F.zip_with(binned, above, lambda a, b: a + b)
-            return binned
-
+        view = _binned(cuts)
         part = train.select("label", view(F.col("features")).alias("features"))
         parts.append((_forest(p, 1, seed + t, bootstrap=False).fit(_vectors(part)), view))
     width = len(lo)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,8 @@ def standardised(rows: DataFrame) -> DataFrame:
 
 
 def literal_array(values) -> Column:
-    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
+    """Constant array; one literal, so that wide vectors stay cheap to plan."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 def scale_by(rows: DataFrame, mean: list[float], std: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.operators import classifiers, evaluation
@@ -130,6 +130,20 @@ def distinct_fits(experiments: list[Experiment]) -> list[Experiment]:
     return list(seen.values())
 
 
+def fit_plan(folded: DataFrame, experiments: list[Experiment]) -> DataFrame:
+    """(model_type, run, fold, n_train, n_test): every fit and the rows it sees."""
+    counts: dict[str, int] = {}
+    for e in experiments:
+        counts[e.model_type] = counts.get(e.model_type, 0) + 1
+    sizes = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    w = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = sizes.withColumn("n_train", F.sum("n_test").over(w) - F.col("n_test"))  # one row per fold
+    kinds = F.array(*[F.struct(F.lit(m).alias("model_type"), F.lit(n).alias("runs")) for m, n in counts.items()])
+    plan = sizes.withColumn("m", F.explode(kinds))
+    run = F.explode(F.sequence(F.lit(0), F.col("m.runs") - 1))
+    return plan.select("m.model_type", run.alias("run"), "fold", "n_train", "n_test")
+
+
 @dataclass
 class Run:
     """Scores of all models and folds, and the fitted objects by (model_id, fold)."""

@@ -361,3 +361,67 @@ ORACLE |= {
          from instances a join instances b using (site)
          where b.id = (select min(id) from instances c where c.site = a.site)""",
 }
+
+# --- scaling, naive Bayes, rankings of models and features --------------------------------
+
+ROWS = """points as (select vec_id as exampleid, (label < 5)::int as label, embedding::double[] as f from embeddings)"""
+FOLDED_ROWS = f"folded_points as (select exampleid, label, f, ((r - 1) % 5)::int as fold from {_shuffled(4, 'exampleid', 'label', 'points')})"
+VALUES = """vals as (select exampleid, label, fold, unnest(f) as x, unnest(range(len(f))) as i from folded_points)"""
+STATS = """stats as (
+  select t.fold, i, avg(x) as mean, case when stddev_pop(x) = 0 then 1 else stddev_pop(x) end as std
+  from vals v join (select distinct fold from vals) t on v.fold <> t.fold group by t.fold, i)"""
+_SCALE = _with(ROWS, FOLDED_ROWS, VALUES, STATS)
+
+ORACLE |= {
+    "fold_stats": _SCALE + "select fold, i::int as i, round(mean, 6) as mean, round(std, 6) as std from stats",
+    "standardised": _SCALE
+    + """select exampleid, fold, i::int as i, round((x - mean) / std, 6) as x
+         from vals join stats using (fold, i)""",
+    "gaussian_nb_scores": _with(ROWS)
+    + """, vals as (select exampleid, label, unnest(f) as x, unnest(range(len(f))) as i from points),
+         wobble as (select 1e-9::double * max(v) as e from (select var_pop(x) as v from vals group by i)),
+         stats as (select label as c, i, avg(x) as m, var_pop(x) + max(e) as v from vals, wobble group by label, i),
+         prior as (select label as c, ln(count(*) / sum(count(*)) over ()) as p from points group by label),
+         joint as (
+           select exampleid, vals.label, stats.c,
+                  sum(-0.5::double * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) as l
+           from vals join stats using (i) group by exampleid, vals.label, stats.c),
+         post as (select exampleid, label, max(case when c = 1 then l + p end) as a, max(case when c = 0 then l + p end) as b
+                  from joint join prior using (c) group by exampleid, label)
+         select exampleid, label, round(1 / (1 + exp(b - a)), 4) as score from post""",
+    "top_importances": _with(ROWS)
+    + """, vals as (select label, unnest(f) as x, unnest(range(len(f))) as i from points),
+         means as (select 'feature_' || i as feature,
+                          avg(x) filter (where label = 1) - avg(x) filter (where label = 0) as importance
+                   from vals group by i)
+         select feature, round(importance, 6) as importance from means order by abs(means.importance) desc, feature limit 30""",
+    "best_model": _with(SCORES)
+    + """, scored as (
+           select 'longer' as g, label, score from scores union all select 'shorter', label, -score from scores
+           union all select 'later', label, exampleid::double from scores),
+         """
+    + AREA
+    + " select g as model_id, round(auc, 6) as auc from area order by area.auc desc limit 1",
+    "fit_plan": _with(SCORES, FOLDED)
+    + """, runs as (
+           select 'RandomForest' as model_type, unnest(range(3 * 4 * 7 * 2 * 3)) as run
+           union all select 'DecisionTreeClassifier', unnest(range(2 * 4 * 2 * 3))
+           union all select unnest(['ExtraTrees', 'RandomForestBagging', 'RandomForestBoosting']), 0),
+         sizes as (select fold, count(*) as n_test, (select count(*) from folded) - count(*) as n_train
+                   from folded group by fold)
+         select model_type, run::int as run, fold, n_train, n_test from runs, sizes""",
+    "log_ingest": _with(TRACES) + "select exampleid, ingoing, circuit, stream, command, length, t_us from traces",
+    "log_stream": _with(TRACES) + "select exampleid, ingoing, circuit, stream, command, length, t_us from traces",
+    "feature_files": _with(INSTANCES)
+    + """, named as (select *, row_number() over (partition by site order by id) as instance from instances),
+         kept as (select *, row_number() over (partition by site order by instance) as r from named where instance >= 5)
+         select site, instance::int as instance, (unnest(range(len(f))))::int as i, round(unnest(f), 6) as x
+         from kept where r <= 20""",
+    "csv_round_trip": _with(EXAMPLES) + "select * from examples",
+    "append_examples": """select (select max(o_orderkey) from orders)
+           + row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) as exampleid,
+           l_suppkey as hsid, l_linenumber as crawlid, l_shipdate as t_scrape from lineitem""",
+    "stored_fold_records": _with(SCORES, FOLDED, _BY_FOLD, SHARE_VIEW, FLAGGED, AREA)
+    + f"""select 'n_chars' as model_id, g as fold, timestamp '2001-08-02' as fold_timestamp,
+          round(max(auc), 6) as auc, {_RECORD} from quality join area using (g) group by g""",
+}

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelab.operators import classifiers as cl
 from tracelab.operators import evaluation as ev
 from tracelab.operators import features as ft
 from tracelab.operators import neighbours as nb
 from tracelab.operators import sampling as sm
+from tracelab.operators import scale as sc
 from tracelab.operators import sites as st
 from tracelab.operators import status
 from tracelab.operators import weights as wt
 from tracelab.operators import world as wd
+from tracelab.operators.ordered import OrderedGroups
 from tracelab.plans import experiment as ex
+from tracelab.session import durable, shared_folder
 from tracelab.sources import adapters as src
-from tracelab.session import durable
+from tracelab.sources import feature_files as ff
+from tracelab.sources import results as rs
+from tracelab.sources import tables as tb
+from tracelab.sources import trace_log as tl
+from tracelab.streaming.trace_stream import append_new_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -458,3 +467,115 @@ def model_records(spark, folder):
 def model_open_world(spark, folder):
     rows = world_rows(spark, folder, "open")
     return ex.train_eval_all_folds(rows, [ex.Experiment("GaussianNB", {})], ex.Options(world="open")).scores
+
+
+# --- scaling, naive Bayes, rankings of models and features --------------------------------
+
+
+def _folded_instances(spark, folder, k=5):
+    return sm.stratified_folds(_instance_rows(spark, folder), "exampleid", "label", k=k, seed=4)
+
+
+@query
+def fold_stats(spark, folder):
+    return rounded(sc.fold_stats(_folded_instances(spark, folder)), 6)
+
+
+@query
+def standardised(spark, folder):
+    scaled = sc.standardised(_folded_instances(spark, folder))
+    return rounded(scaled.select("exampleid", "fold", F.posexplode("features").alias("i", "x")), 6)
+
+
+@query
+def gaussian_nb_scores(spark, folder):
+    rows = _instance_rows(spark, folder)
+    return rounded(cl.fit("GaussianNB", {}, rows).score(rows), 4)
+
+
+@query
+def top_importances(spark, folder):
+    """Features ranked by the difference of their class means."""
+    x = _instance_rows(spark, folder).select("label", F.posexplode("features").alias("i", "x"))
+    sign = F.when(F.col("label") == 1, F.col("x"))
+    other = F.when(F.col("label") == 0, F.col("x"))
+    means = x.groupBy("i").agg((F.avg(sign) - F.avg(other)).alias("importance"))
+    named = means.select(F.concat(F.lit("feature_"), "i").alias("feature"), "importance")
+    return rounded(ev.top_features(named, 30), 6)
+
+
+@query
+def best_model(spark, folder):
+    base = src.scores(spark, folder)
+    runs = {"longer": F.col("score"), "shorter": -F.col("score"), "later": F.col("exampleid").cast("double")}
+    models = F.explode(F.array(*[F.struct(F.lit(n).alias("model_id"), c.alias("score")) for n, c in runs.items()]))
+    scores = base.select("exampleid", "label", models.alias("m")).select("label", "m.model_id", "m.score")
+    return rounded(ev.best_model(ev.auc(scores, ["model_id"])), 6)
+
+
+@query
+def fit_plan(spark, folder):
+    """Every fit of the shipped grid with the number of rows it trains and tests on."""
+    folded = sm.stratified_folds(src.scores(spark, folder), "exampleid", k=10, seed=1)
+    return ex.fit_plan(folded, ex.generate_experiments())
+
+
+# --- sources and sinks -------------------------------------------------------------------
+
+
+def _scratch(spark):
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def log_ingest(spark, folder):
+    """Traces written as text logs, then read back by the log reader."""
+    path = _scratch(spark)
+    tl.write_trace_logs(src.traces(spark, folder), path)
+    return tl.read_trace_logs(spark, path)
+
+
+@query
+def log_stream(spark, folder):
+    """The same logs through the streaming reader."""
+    path = _scratch(spark)
+    tl.write_trace_logs(src.traces(spark, folder), f"{path}/logs")
+    append_new_logs(spark, f"{path}/logs", f"{path}/cells", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/cells")
+
+
+@query
+def feature_files(spark, folder):
+    """Instances written as feature files, then read back; half of them start at number 5."""
+    path = _scratch(spark)
+    i = OrderedGroups(src.instances(spark, folder), ["site"], ["id"]).running(sums={"instance": F.lit(1)}).rows()
+    ff.write_feature_files(i, path)
+    read = ff.read_feature_files(spark, path, 5, 25)
+    return rounded(read.select("site", "instance", F.posexplode("features").alias("i", "x")), 6)
+
+
+@query
+def csv_round_trip(spark, folder):
+    path = _scratch(spark)
+    tb.write_csv(src.examples(spark, folder), path)
+    return tb.read_csv(spark, path, "exampleid bigint, hsid bigint, crawlid bigint, t_scrape timestamp_ntz")
+
+
+@query
+def append_examples(spark, folder):
+    """Line items as new visits: ids follow those of the existing examples."""
+    new = src.table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("hsid"), F.col("l_linenumber").alias("crawlid"), "l_orderkey", "l_partkey", "l_shipdate",
+        "l_extendedprice", "l_quantity",
+    )
+    order = ["l_orderkey", "crawlid", "l_partkey", "hsid", "l_shipdate", "l_extendedprice", "l_quantity"]
+    out = tb.with_new_ids(new, src.examples(spark, folder), "exampleid", order)
+    return out.select("exampleid", "hsid", "crawlid", F.col("l_shipdate").alias("t_scrape"))
+
+
+@query
+def stored_fold_records(spark, folder):
+    path = _scratch(spark)
+    folds = ev.fold_metrics(_fold_scores(spark, folder).withColumn("model_id", F.lit("n_chars")), ["model_id", "fold"])
+    rs.save_fold_records(folds, path, NOW)
+    return rounded(spark.read.parquet(path), 6)
