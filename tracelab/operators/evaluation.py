@@ -46,14 +46,13 @@ def score_steps(scores: DataFrame, by: list[str] = (), group_rows: int = GROUP_R
     steps = scores.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("p")
     )
-    totals = steps.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum("p").alias("p_all"))
-    ranked = (
+    return (
         OrderedGroups(steps.withColumn("_down", -F.col("score")), keys, ["_down"], group_rows)
         .running(sums={"n_cum": F.col("n"), "p_cum": F.col("p")})
+        .totals(n_all=F.col("n"), p_all=F.col("p"))
         .rows()
         .drop("_down")
     )
-    return ranked.join(totals, keys)
 
 
 def _output(df: DataFrame, by: list[str], *columns: Column | str) -> DataFrame:

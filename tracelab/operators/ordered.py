@@ -8,6 +8,7 @@ fit a task; each step then adds what the earlier slices of the group contribute.
 
 from __future__ import annotations
 
+import copy
 import math
 from functools import reduce
 
@@ -31,17 +32,18 @@ class OrderedGroups:
         keys: list[str],
         order: list[str],
         group_rows: int = GROUP_ROWS,
-        _parts: tuple[DataFrame | None, DataFrame | None] | None = None,
     ):
         self.keys, self.order, self.group_rows = list(keys), list(order), group_rows
-        self.small, self.large = _parts if _parts else self._split(df)
+        self.columns = df.columns
+        self.small, self.large = self._split(df)
 
     def _split(self, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         # A table that fits one task has no large group: one cheap count decides it.
-        if df.count() <= self.group_rows:
+        rows = df.count()
+        if rows <= self.group_rows:
             return df, None
         if not self.keys:
-            return None, self._slices(df, df.count())
+            return None, self._slices(df, rows)
         big = durable(
             df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.group_rows)
         )
@@ -59,7 +61,9 @@ class OrderedGroups:
         return durable(cut.withColumn(_SLICE, F.spark_partition_id()))
 
     def _with(self, small: DataFrame | None, large: DataFrame | None) -> OrderedGroups:
-        return OrderedGroups(None, self.keys, self.order, self.group_rows, (small, large))
+        other = copy.copy(self)
+        other.small, other.large = small, large
+        return other
 
     def _window(self, *extra: str):
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order)
@@ -117,7 +121,24 @@ class OrderedGroups:
             ).drop(*[f"_b_{n}" for n, _, _, _ in steps])
         return self._with(small, large)
 
+    def totals(self, **columns: Column) -> OrderedGroups:
+        """Sum of each expression over the whole group."""
+        small = large = None
+        if self.small is not None:
+            w = Window.partitionBy(*self.keys)
+            small = self.small.withColumns({n: F.sum(c).over(w) for n, c in columns.items()})
+        if self.large is not None:
+            sums = self.large.groupBy(*self.keys).agg(*[F.sum(c).alias(n) for n, c in columns.items()])
+            # At most rows / group_rows groups are large; see _split.
+            if self.keys:
+                large = self.large.join(sums, self.keys)
+            else:
+                only = sums.first()
+                large = self.large.withColumns({n: F.lit(only[n]) for n in columns})
+        return self._with(small, large)
+
     def rows(self) -> DataFrame:
-        """All rows with the added columns."""
-        parts = [p for p in (self.small, self.large.drop(_SLICE) if self.large is not None else None) if p is not None]
-        return reduce(DataFrame.unionByName, parts)
+        """All rows: the given columns, then the added ones."""
+        parts = [p for p in (self.small, self.large) if p is not None]
+        added = [c for c in parts[0].columns if c not in self.columns and c != _SLICE]
+        return reduce(DataFrame.unionByName, [p.select(*self.columns, *added) for p in parts])

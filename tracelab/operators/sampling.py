@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ def interleave_plan(
     monitored = ranked.where("is_sd").select(
         rounds.alias("round"), "is_sd", F.col("_rank").alias("visit_order"), "hsid"
     )
-    chunk = sites.where(~F.col("is_sd")).groupBy("is_sd").agg(
-        F.floor(F.count(F.lit(1)) / F.lit(ratio)).cast("bigint").alias("_chunk")
-    )
-    others = ranked.where(~F.col("is_sd")).join(chunk.where("_chunk > 0"), "is_sd")
-    others = others.withColumn("round", F.expr("cast((_rank - 1) div _chunk as int)")).where(F.col("round") < ratio)
-    others = others.select("round", "is_sd", (F.col("_rank") - F.col("round") * F.col("_chunk")).alias("visit_order"), "hsid")
+    chunk = sites.where(~F.col("is_sd")).count() // ratio
+    if chunk == 0:
+        return monitored
+    others = ranked.where(~F.col("is_sd")).withColumn("round", F.expr(f"cast((_rank - 1) div {chunk} as int)"))
+    others = others.where(F.col("round") < ratio)
+    others = others.select("round", "is_sd", (F.col("_rank") - F.col("round") * F.lit(chunk)).alias("visit_order"), "hsid")
     return monitored.unionByName(others)
 
 
@@ -55,13 +57,10 @@ def open_world_split(
     unmonitored sites test. Monitored traces train, but for one fold in ``k``.
     """
     outside = world.where(F.col("label") == 0)
-    sites = shuffled_rank(
-        outside.select("hs_url").distinct().withColumn("_one", F.lit(0)), "hs_url", ["_one"], seed, "_rank", group_rows
-    )
-    count = sites.groupBy("_one").agg(F.count(F.lit(1)).alias("_n"))
-    seen = sites.join(count, "_one").select(
-        "hs_url", (F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(observed_fraction)))).alias("is_train")
-    )
+    sites = outside.select("hs_url").distinct()
+    observed = math.floor(sites.count() * observed_fraction)
+    ranked = shuffled_rank(sites, "hs_url", [], seed, "_rank", group_rows)
+    seen = ranked.select("hs_url", (F.col("_rank") <= observed).alias("is_train"))
     inside = stratified_folds(world.where(F.col("label") == 1), "exampleid", "label", k, seed, group_rows)
     inside = inside.withColumn("is_train", F.col("fold") != 0).drop("fold")
     return outside.join(seen, "hs_url").select(*inside.columns).unionByName(inside)

@@ -55,10 +55,14 @@ def site_rows(classes: DataFrame, t_sort: datetime | None = None) -> DataFrame:
     )
 
 
+def _since(sites: DataFrame, now: datetime, span: str | timedelta) -> DataFrame:
+    since = now - (lookback(span) if isinstance(span, str) else span)
+    return sites.where(F.col("t_sort") >= F.lit(since).cast("timestamp_ntz"))
+
+
 def recent_sites(sites: DataFrame, now: datetime, span: str | timedelta) -> DataFrame:
     """Sites sorted within the lookback: (is_sd, hs_url, hsid); the latest id of an address wins."""
-    since = now - (lookback(span) if isinstance(span, str) else span)
-    recent = sites.where(F.col("t_sort") >= F.lit(since).cast("timestamp_ntz"))
+    recent = _since(sites, now, span)
     return recent.groupBy("is_sd", "hs_url").agg(F.max_by("hsid", F.struct("t_sort", "hsid")).alias("hsid"))
 
 
@@ -67,14 +71,10 @@ def site_classes(sites: DataFrame, now: datetime, span: str | timedelta) -> Data
 
     The class of the latest row names the monitored class; the other is ``nonmonitored``.
     """
-    since = now - (lookback(span) if isinstance(span, str) else span)
-    names = (
-        sites.where(F.col("t_sort") >= F.lit(since).cast("timestamp_ntz"))
-        .groupBy("is_sd")
-        .agg(F.max_by("sorted_class", F.struct("t_sort", "hsid")).alias("class_name"))
-    )
-    return recent_sites(sites, now, span).join(names, "is_sd").select(
-        F.when(F.col("is_sd"), F.col("class_name")).otherwise(F.lit("nonmonitored")).alias("class_name"),
+    recent = _since(sites, now, span)
+    latest = recent.where("is_sd").agg(F.max_by("sorted_class", F.struct("t_sort", "hsid")).alias("name")).first()
+    return recent_sites(sites, now, span).select(
+        F.when(F.col("is_sd"), F.lit(latest["name"])).otherwise(F.lit("nonmonitored")).alias("class_name"),
         "hs_url",
         "hsid",
     )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelab.operators import classifiers, evaluation
 from tracelab.operators.sampling import grid, open_world_split, stratified_folds
 from tracelab.operators.scale import fold_stats, packed_stats, scale_by
-from tracelab.session import durable
+from tracelab.session import durable, shared_folder
 
 # The parameter lists of the shipped grid.
 PARAMETERS: dict[str, dict[str, list]] = {
@@ -172,23 +172,26 @@ def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options
     if options.feature_scaling:  # one row per fold, as wide as the vectors
         stats = {r.fold: (r.mean, r.std) for r in packed_stats(fold_stats(folded)).collect()}
 
-    def one(task: tuple[Experiment, int]):
-        experiment, fold = task
+    tasks = [(i, e, f) for i, e in enumerate(distinct_fits(experiments)) for f in folds if not stats or f in stats]
+    spark = rows.sparkSession
+    table = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def one(task: tuple[int, Experiment, int]):
+        i, experiment, fold = task
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         if options.feature_scaling:
-            if fold not in stats:  # an empty test fold
-                return None
             train, test = scale_by(train, *stats[fold]), scale_by(test, *stats[fold])
         fitted = classifiers.fit(experiment.model_type, experiment.parameters, train, options.seed + fold)
-        scored = fitted.score(test).withColumns({"model_id": F.lit(experiment.model_id), "fold": F.lit(fold)})
-        # Stored at once: later metrics read the scores, not the models.
-        return (experiment.model_id, fold), fitted, durable(scored)
+        scored = fitted.score(test).withColumn("model_id", F.lit(experiment.model_id))
+        # Each run fills its own partition of the score table: all metrics read one table.
+        scored.write.mode("overwrite").parquet(f"{table}/run={i}/fold={fold}")
+        return (experiment.model_id, fold), fitted
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_fits)) as pool:
-        tasks = [(e, f) for e in distinct_fits(experiments) for f in folds]
-        done = [d for d in pool.map(one, tasks) if d is not None]
-    scores = reduce(DataFrame.unionByName, [d[2] for d in done]).select("model_id", "fold", "exampleid", "label", "score")
-    return Run(scores, {key: fitted for key, fitted, _ in done}, experiments, options)
+        done = dict(pool.map(one, tasks))
+    schema = "exampleid bigint, label int, score double, model_id string, run int, fold int"
+    scores = spark.read.schema(schema).parquet(table)
+    return Run(scores.select("model_id", "fold", "exampleid", "label", "score"), done, experiments, options)
 
 
 def fold_records(run: Run) -> DataFrame:
