@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,13 @@ def hash_unit(seed: str | int, *columns: Column | str) -> Column:
     return F.conv(F.substring(hash_key(seed, *columns), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def moment(when: datetime | None) -> Column:
+    """A given time, or now, without regard to time zones."""
+    if when is None:
+        return F.current_timestamp().cast("timestamp_ntz")
+    return F.expr(f"timestamp_ntz'{when:%Y-%m-%d %H:%M:%S.%f}'")
+
+
 def lookback(text: str) -> timedelta:
     """``<integer><unit>`` with unit w, d or h."""
     found = re.fullmatch(r"(\d+)([a-z])", text)

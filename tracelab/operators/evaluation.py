@@ -7,10 +7,14 @@ than the distinct scores and never holds a group in one task or one array.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.operators.ordered import GROUP_ROWS, OrderedGroups
+from tracelab.session import durable
 
 # Percent of the scored rows that is flagged, and the metric name of each.
 THRESHOLDS = {
@@ -46,8 +50,13 @@ def score_steps(scores: DataFrame, by: list[str] = (), group_rows: int = GROUP_R
     steps = scores.groupBy(*keys, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("p")
     )
+    steps = steps.withColumn("_down", -F.col("score"))
+    rows = scores.count()
+    if rows > group_rows:  # read several times below: group once
+        steps = durable(steps)
+        rows = steps.count()
     return (
-        OrderedGroups(steps.withColumn("_down", -F.col("score")), keys, ["_down"], group_rows)
+        OrderedGroups(steps, keys, ["_down"], group_rows, at_most=rows)
         .running(sums={"n_cum": F.col("n"), "p_cum": F.col("p")})
         .totals(n_all=F.col("n"), p_all=F.col("p"))
         .rows()
@@ -104,30 +113,20 @@ def auc(scores: DataFrame, by: list[str] = (), group_rows: int = GROUP_ROWS) ->
     return _output(steps.groupBy(*(by or [_ALL])).agg(_auc_agg().alias("auc")), by, "auc")
 
 
-def _flagged(shares: list[float]) -> Column:
-    """The shares whose cut-off score is the score of this row.
+def _is_cut(share: float) -> Column:
+    """Whether the score of this row is the cut-off of the share.
 
     The cut-off is the score at 0-based rank min(int(n * share), n - 1); only rows with a
     strictly higher score are flagged, so the flagged rows are the steps before this one.
     """
-    ranks = [
-        F.struct(
-            F.lit(float(s)).alias("share"),
-            F.least(F.floor(F.col("n_all").cast("double") * F.lit(float(s))), F.col("n_all") - 1).alias("rank"),
-        )
-        for s in shares
-    ]
-    before = F.col("n_cum") - F.col("n")
-    return F.filter(F.array(*ranks), lambda t: (t["rank"] >= before) & (t["rank"] < F.col("n_cum")))
-
-
-def _flagged_quality() -> tuple[Column, Column, Column]:
-    """Precision, recall and F1 when all steps before this one are flagged; 0 for 0/0."""
-    tp, flagged, positives = F.col("p_cum") - F.col("p"), F.col("n_cum") - F.col("n"), F.col("p_all")
-    return tuple(
-        F.coalesce(_ratio(a, b), F.lit(0.0))
-        for a, b in ((tp, flagged), (tp, positives), (2 * tp, flagged + positives))
-    )
+    rank = F.least(F.floor(F.col("n_all").cast("double") * F.lit(float(share))), F.col("n_all") - 1)
+    return (rank >= F.col("n_cum") - F.col("n")) & (rank < F.col("n_cum"))
+
+
+def _quality(tp: Column, flagged: Column, positives: Column) -> dict[str, Column]:
+    """Precision, recall and F1; 0 for 0/0."""
+    pairs = {"precision": (tp, flagged), "recall": (tp, positives), "f1": (2 * tp, flagged + positives)}
+    return {m: F.coalesce(_ratio(a, b), F.lit(0.0)) for m, (a, b) in pairs.items()}
 
 
 def top_share(
@@ -135,33 +134,31 @@ def top_share(
 ) -> DataFrame:
     """Precision, recall and F1 of the top share of rows: (by, share, cutoff, precision, recall, f1)."""
     by = list(by)
-    cut = score_steps(scores, by, group_rows).withColumn("_t", F.explode(_flagged(shares)))
-    precision, recall, f1 = _flagged_quality()
-    return cut.select(
-        *by,
-        F.col("_t.share").alias("share"),
-        F.col("score").alias("cutoff"),
-        precision.alias("precision"),
-        recall.alias("recall"),
-        f1.alias("f1"),
-    )
+    steps = score_steps(scores, by, group_rows)
+    cuts = steps.where(reduce(operator.or_, [_is_cut(s) for s in shares]))
+    hits = F.array(*[F.when(_is_cut(s), F.lit(float(s))) for s in shares])
+    cuts = cuts.withColumn("share", F.explode(F.array_compact(hits)))
+    quality = _quality(F.col("p_cum") - F.col("p"), F.col("n_cum") - F.col("n"), F.col("p_all"))
+    return cuts.select(*by, "share", F.col("score").alias("cutoff"), *[c.alias(m) for m, c in quality.items()])
 
 
 def fold_metrics(scores: DataFrame, by: list[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """One record per group: auc and precision, recall and F1 at every threshold."""
     by = list(by)
-    shares = {t / 100: name for t, name in THRESHOLDS.items()}
-    precision, recall, f1 = _flagged_quality()
     steps = score_steps(scores, by, group_rows)
-    # The cut-offs are picked inside the same aggregate that adds up the area.
-    steps = steps.withColumns({"_cuts": _flagged(list(shares)), "_p": precision, "_r": recall, "_f": f1})
-    picked = [
-        F.max(F.when(F.array_contains(F.col("_cuts.share"), F.lit(s)), F.col(c))).alias(f"{m}_at_{name}")
-        for m, c in (("precision", "_p"), ("recall", "_r"), ("f1", "_f"))
-        for s, name in shares.items()
-    ]
-    record = steps.groupBy(*(by or [_ALL])).agg(_auc_agg().alias("auc"), *picked)
-    return _output(record, by, "auc", *metric_names())
+    # Per threshold one row of a group is the cut, so max() only picks its counts.
+    picked = []
+    for t, name in THRESHOLDS.items():
+        cut = _is_cut(t / 100)
+        picked.append(F.max(F.when(cut, F.col("p_cum") - F.col("p"))).alias(f"_tp_{name}"))
+        picked.append(F.max(F.when(cut, F.col("n_cum") - F.col("n"))).alias(f"_flagged_{name}"))
+    record = steps.groupBy(*(by or [_ALL])).agg(_auc_agg().alias("auc"), F.max("p_all").alias("p_all"), *picked)
+    quality = {
+        f"{m}_at_{name}": c
+        for name in THRESHOLDS.values()
+        for m, c in _quality(F.col(f"_tp_{name}"), F.col(f"_flagged_{name}"), F.col("p_all")).items()
+    }
+    return record.select(*by, "auc", *[quality[m].alias(m) for m in metric_names()])
 
 
 def average_metrics(folds: DataFrame, by: list[str]) -> DataFrame:

@@ -74,6 +74,13 @@ def number_cells(cells: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     )
 
 
+def ordered_cells(cells: DataFrame, exampleid: int | None = None) -> DataFrame:
+    """Direction and time of the cells of one trace, or of all traces, in order."""
+    if exampleid is not None:
+        cells = cells.where(F.col("exampleid") == exampleid)
+    return cells.orderBy("exampleid", "t_us", "cellid").select("exampleid", "ingoing", "t_us")
+
+
 # --- aggregates that need no order -------------------------------------------------
 
 

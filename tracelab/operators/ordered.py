@@ -32,14 +32,16 @@ class OrderedGroups:
         keys: list[str],
         order: list[str],
         group_rows: int = GROUP_ROWS,
+        at_most: int | None = None,
     ):
+        """``at_most`` is a known bound on the rows of ``df``; without it they are counted."""
         self.keys, self.order, self.group_rows = list(keys), list(order), group_rows
         self.columns = df.columns
-        self.small, self.large = self._split(df)
+        self.small, self.large = self._split(df, at_most)
 
-    def _split(self, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    def _split(self, df: DataFrame, at_most: int | None) -> tuple[DataFrame | None, DataFrame | None]:
         # A table that fits one task has no large group: one cheap count decides it.
-        rows = df.count()
+        rows = df.count() if at_most is None else at_most
         if rows <= self.group_rows:
             return df, None
         if not self.keys:

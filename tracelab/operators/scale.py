@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +54,7 @@ def standardised(rows: DataFrame) -> DataFrame:
 
 def literal_array(values) -> Column:
     """Constant array; one literal, so that wide vectors stay cheap to plan."""
-    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def scale_by(rows: DataFrame, mean: list[float], std: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.columns import class_version, first_class, is_monitored_class, lookback, site_host
+from tracelab.functions.columns import class_version, first_class, is_monitored_class, lookback, moment, site_host
 
 # The address pattern of a hidden site and what goes before it.
 ADDRESS_PATTERN = r"[0-9a-z]{16}\.onion"
@@ -44,20 +44,19 @@ def from_class_map(classes: DataFrame) -> DataFrame:
 
 def site_rows(classes: DataFrame, t_sort: datetime | None = None) -> DataFrame:
     """Site rows to append, from (class_name, url)."""
-    when = F.lit(t_sort) if t_sort else F.current_timestamp()
     return classes.where(F.col("class_name").isNotNull()).select(
         site_host(F.col("url")).alias("hs_url"),
         is_monitored_class(F.col("class_name")).alias("is_sd"),
         class_version(F.col("class_name")).alias("sd_version"),
         F.lit(True).alias("is_current"),
         F.col("class_name").alias("sorted_class"),
-        when.cast("timestamp_ntz").alias("t_sort"),
+        moment(t_sort).alias("t_sort"),
     )
 
 
 def _since(sites: DataFrame, now: datetime, span: str | timedelta) -> DataFrame:
     since = now - (lookback(span) if isinstance(span, str) else span)
-    return sites.where(F.col("t_sort") >= F.lit(since).cast("timestamp_ntz"))
+    return sites.where(F.col("t_sort") >= moment(since))
 
 
 def recent_sites(sites: DataFrame, now: datetime, span: str | timedelta) -> DataFrame:

@@ -124,7 +124,7 @@ def burst_lengths(spark, folder):
 
 @query
 def master_matrix(spark, folder):
-    return rounded(ft.widen(ft.feature_families(numbered(spark, folder))))
+    return ft.widen(rounded(ft.feature_families(numbered(spark, folder))))
 
 
 # --- world, sites, status -------------------------------------------------------------
@@ -141,8 +141,8 @@ CLASS_RULES = [
 
 @query
 def labelled_world(spark, folder):
-    features = ft.widen(ft.feature_families(numbered(spark, folder)))
-    return rounded(wd.labelled_world(features, src.examples(spark, folder), src.sites(spark, folder)))
+    families = rounded(ft.feature_families(numbered(spark, folder)))
+    return ft.widen(wd.labelled_world(families, src.examples(spark, folder), src.sites(spark, folder)))
 
 
 @query
@@ -153,12 +153,12 @@ def labelled_world_open(spark, folder):
 
 @query
 def imputed_matrix(spark, folder):
-    return rounded(ft.widen(ft.impute(ft.feature_families(numbered(spark, folder)))))
+    return ft.widen(ft.impute(rounded(ft.feature_families(numbered(spark, folder)))))
 
 
 @query
 def ordered_trace(spark, folder):
-    return src.traces(spark, folder).orderBy("exampleid", "t_us", "cellid").select("exampleid", "ingoing", "t_us")
+    return ft.ordered_cells(src.traces(spark, folder))
 
 
 @query
@@ -453,6 +453,13 @@ _model(
 )
 
 
+@query
+def model_importances(spark, folder):
+    """The features that matter most to a fitted forest."""
+    run = ex.train_eval_all_folds(world_rows(spark, folder), [ex.Experiment("RandomForest", _FOREST)], ex.Options(num_kfolds=3))
+    return ev.top_features(ex.importances(run, ft.feature_names()), 30)
+
+
 @query
 def model_records(spark, folder):
     rows = durable(world_rows(spark, folder))

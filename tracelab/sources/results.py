@@ -5,23 +5,21 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tracelab.functions.columns import moment
 from tracelab.operators.evaluation import metric_names
 from tracelab.sources.tables import append_table
 
 
 def save_fold_records(records: DataFrame, path: str, when: datetime | None = None) -> str:
     """Append one row per model and fold: (model_id, fold, fold_timestamp, auc, metrics)."""
-    stamp = F.lit(when) if when else F.current_timestamp()
-    rows = records.select("model_id", "fold", stamp.cast("timestamp_ntz").alias("fold_timestamp"), "auc", *metric_names())
+    rows = records.select("model_id", "fold", moment(when).alias("fold_timestamp"), "auc", *metric_names())
     return append_table(rows, path)
 
 
 def save_model_records(records: DataFrame, path: str, when: datetime | None = None) -> str:
     """Append one row per model, settings as JSON and the mean curve as arrays."""
-    stamp = F.lit(when) if when else F.current_timestamp()
-    return append_table(records.withColumn("model_timestamp", stamp.cast("timestamp_ntz")), path)
+    return append_table(records.withColumn("model_timestamp", moment(when)), path)
 
 
 def save_scores(scores: DataFrame, path: str) -> str:
