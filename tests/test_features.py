@@ -1,5 +1,7 @@
 """Goldens of the feature families, and the sliced path against the plain one."""
 
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def test_bursts(spark, cells):
     assert directions(spark, "TTFFTTFFF") == [2, 2, 2, 3]
 
 
+def test_bursts_against_run_lengths(spark):
+    cells = src.traces(spark, SF_DIR)
+    runs = {}
+    for trace, run in groupby(ft.ordered_cells(cells).collect(), key=lambda r: (r.exampleid, r.ingoing)):
+        runs.setdefault(trace[0], []).append(len(list(run)))
+    expected = [(e, i, n) for e, lengths in runs.items() for i, n in enumerate(lengths, 1)]
+    assert rows(ft.bursts(ft.number_cells(cells))) == sorted(expected)
+    assert ft.ordered_cells(cells, 3).count() == cells.where("exampleid = 3").count()
+
+
 def test_burst_families(spark):
     b = spark.createDataFrame(BURSTS, "burst bigint, exampleid bigint, rank bigint")
     got = {r[0]: r[1:] for r in rows(ft.burst_aggregates(b))}

@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,11 +220,8 @@ def _binned(cuts: np.ndarray) -> Callable[[Column], Column]:
 def extra_trees(p: dict, train: DataFrame, seed: int, cuts_per_feature: int = 7) -> Fitted:
     """Trees that may split only at cut points drawn at random per tree and feature."""
     rng = np.random.default_rng(seed)
-    ends = (
-        train.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    )
-    ends = ends.toPandas().sort_values("i")  # one row per feature
-    lo, hi = ends["lo"].to_numpy(), ends["hi"].to_numpy()
+    ends = train.agg(Summarizer.metrics("min", "max").summary(array_to_vector("features")).alias("s")).first()["s"]
+    lo, hi = ends["min"].toArray(), ends["max"].toArray()
     parts = []
     for t in range(p["n_estimators"]):
         cuts = np.sort(rng.uniform(lo, hi, size=(cuts_per_feature, len(lo))), axis=0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,22 @@ from pyspark.sql import functions as F
 def fold_stats(rows: DataFrame) -> DataFrame:
     """(fold, i, mean, std): statistics of feature i over all rows outside the fold.
 
-    One pass over (fold, features). Folds are combined around the overall mean, so large
-    means cost no precision. std is the population value; 1 for a constant feature.
+    One pass that keeps one vector summary per fold and task; folds are combined around the
+    overall mean, so large means cost no precision. std is the population value; 1 for a
+    constant feature.
     """
-    per_fold = (
-        rows.select("fold", F.posexplode("features").alias("i", "x"))
-        .groupBy("fold", "i")
-        .agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("features"))
+    per_fold = rows.groupBy("fold").agg(summary.alias("s"))
+    n = F.col("s.count").cast("double")
+    per_fold = per_fold.select(
+        "fold",
+        n.alias("n"),
+        F.posexplode(
+            F.arrays_zip(vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"))
+        ).alias("i", "z"),
     )
+    # the library divides by n - 1
+    per_fold = per_fold.select("fold", "i", "n", F.col("z.m").alias("m"), (F.col("z.v") * (F.col("n") - 1) / F.col("n")).alias("v"))
     w = Window.partitionBy("i")  # as many rows as folds
     centre = F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w)
     d = per_fold.withColumn("c", centre).withColumn("d", F.col("m") - F.col("c"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelab.session import shared_folder
 from tracelab.sources.trace_log import stream_trace_logs
 
 
@@ -19,7 +18,7 @@ def append_new_logs(spark: SparkSession, logs: str, table: str, state: str | Non
         stream_trace_logs(spark, logs)
         .writeStream.format("parquet")
         .option("path", table)
-        .option("checkpointLocation", state or f"{shared_folder(spark)}/log-stream")
+        .option("checkpointLocation", state or f"{table.rstrip('/')}_state")
         .trigger(availableNow=True)
         .start()
     )
