@@ -65,5 +65,6 @@ def log_lines(cells: DataFrame) -> DataFrame:
 
 
 def write_trace_logs(cells: DataFrame, path: str) -> None:
-    """One folder per trace. Rows stay where they are: a large trace has many files."""
-    log_lines(cells).write.option("lineSep", BETWEEN).partitionBy("exampleid").text(path)
+    """One folder per trace. Traces share few tasks, and a large trace is split over several."""
+    lines = log_lines(cells).hint("rebalance", "exampleid")
+    lines.write.option("lineSep", BETWEEN).partitionBy("exampleid").text(path)
