@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,37 +34,59 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class ByteCoder:
+    """Built once by the driver and sent along: its size is that of the vocabulary."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, pattern
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         self.id_at = np.array([ranks[k] for k in self.hash.keys], np.uint32) if keys else np.zeros(0, np.uint32)
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.shift = max(ranks.values(), default=0).bit_length()
+
+    def ready(self) -> ByteCoder:
+        """What a worker derives for itself."""
+        self.split = regex.compile(self.pattern).findall
+        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.byte_id = [self.ranks.get(bytes([i]), -1) for i in range(256)]
+        self.pairs = {
+            a << self.shift | b: i
+            for word, i in self.ranks.items()
+            for cut in range(1, len(word))
+            if (a := self.ranks.get(word[:cut])) is not None and (b := self.ranks.get(word[cut:])) is not None
+        }
         self.memo: dict[str, bytes] = {}
+        return self
 
     def merged(self, word: bytes) -> list[int]:
-        """The ids of one pre-token, by a heap of pairs over linked bytes."""
-        n = len(word)
-        piece = [word[i : i + 1] for i in range(n)]
+        """The ids of one pre-token, by a heap of pairs over linked bytes; heap entries are rank and place in one."""
+        n, shift, pairs = len(word), self.shift, self.pairs
+        piece = [self.byte_id[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.ranks.get
-        heap = [(r, i, piece[i] + piece[i + 1]) for i in range(n - 1) if (r := rank(piece[i] + piece[i + 1])) is not None]
+        best = [pairs.get(a << shift | b, -1) for a, b in zip(piece, piece[1:])]
+        best.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(best) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if piece[i] is None or j >= n or len(piece[i]) + len(piece[j]) != len(both) or piece[i] + piece[j] != both:
+            top = heapq.heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            if best[i] != r:
                 continue  # one side has been merged since
-            piece[i], piece[j] = both, None
-            after[i] = k = after[j]
+            j = after[i]
+            k = after[j]
+            piece[i], piece[j], after[i], best[j] = r, -1, k, -1
             if k < n:
                 before[k] = i
-                if (r := rank(both + piece[k])) is not None:
-                    heapq.heappush(heap, (r, i, both + piece[k]))
+                best[i] = new = pairs.get(r << shift | piece[k], -1)
+                if new >= 0:
+                    heapq.heappush(heap, new << 32 | i)
+            else:
+                best[i] = -1
             h = before[i]
-            if h >= 0 and (r := rank(piece[h] + both)) is not None:
-                heapq.heappush(heap, (r, h, piece[h] + both))
-        return [self.ranks[p] for p in piece if p is not None]
+            if h >= 0:
+                best[h] = new = pairs.get(piece[h] << shift | r, -1)
+                if new >= 0:
+                    heapq.heappush(heap, new << 32 | h)
+        return [p for p in piece if p >= 0]
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of all words into the memo."""
@@ -71,9 +94,14 @@ class ByteCoder:
             self.memo.clear()
         new = [w for w in words if w not in self.memo]
         raw = [w.encode() for w in new]
-        for word, data, at in zip(new, raw, self.hash.find(raw).tolist()):
-            ids = self.id_at[at : at + 1] if at >= 0 else np.array(self.merged(data), "<u4")
-            self.memo[word] = ids.astype("<u4").tobytes()
+        found = self.hash.find(raw)
+        whole = self.id_at[found].astype("<u4").tobytes() if len(self.id_at) else b""
+        for i, (word, data, at) in enumerate(zip(new, raw, found.tolist())):
+            if at >= 0:
+                self.memo[word] = whole[4 * i : 4 * i + 4]
+            else:
+                ids = self.merged(data)
+                self.memo[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, per text."""
@@ -88,12 +116,12 @@ class ByteCoder:
 
 def _mapped(df: DataFrame, column: str, out: str, data: bytes, pattern: str, encode: bool) -> DataFrame:
     """Replace the last column, `column`, by `out`; all columns before it pass through as Arrow."""
-    shared = df.sparkSession.sparkContext.broadcast((data, pattern))  # the vocabulary: its size is fixed
+    shared = df.sparkSession.sparkContext.broadcast(ByteCoder(read_ranks(data), pattern))
+    name = ("bpe", hash(data), pattern)
     schema = T.StructType([*df.drop(column).schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, pattern = shared.value
-        coder = per_process(("bpe", hash(data), pattern), lambda: ByteCoder(read_ranks(data), pattern))
+        coder = per_process(name, lambda: shared.value.ready())
         for part in slices(batches, column):
             values = part.column(column).to_pylist()
             done = coder.encode([v or "" for v in values]) if encode else [coder.decode(v or b"") for v in values]

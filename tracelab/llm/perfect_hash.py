@@ -49,12 +49,18 @@ class PerfectHash:
             if len(own) == 1:
                 singles.append((b, own[0]))
                 continue
-            shift = 0
-            while True:
-                at = _slots(hashes[own], np.full(len(own), shift), n)
-                if not taken[at].any() and len(set(at.tolist())) == len(own):
+            first = 0
+            while True:  # a row of shifts at a time
+                tried = np.arange(first, first + 64)
+                at = _slots(hashes[own][:, None], tried[None, :], n)
+                good = ~taken[at].any(axis=0)
+                ordered = np.sort(at, axis=0)
+                good &= (ordered[1:] != ordered[:-1]).all(axis=0)
+                if good.any():
                     break
-                shift += 1
+                first += 64
+            shift = first + int(np.argmax(good))
+            at = at[:, shift - first]
             taken[at] = True
             self.shifts[b] = shift
             for k, slot in zip(own, at):

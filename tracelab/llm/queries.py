@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, token_counts, token_store
+from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, token_counts, token_store
 from tracelab.llm.common import scratch_path
 
 
@@ -46,10 +46,25 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, "json", _file("byte_bpe_50k.json"), scratch_path(spark))
 
 
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return raking.sampled(_table(spark, folder, "documents"))
+
+
+def linked_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.scan(_table(spark, folder, "documents"))
+
+
+def multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.fingerprints(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files,
+    "op4_mixed_sources": mixed_sources,
     "op5_byte_bpe": bpe_round_trip,
     "op6_token_counts": counted_tokens,
+    "op7_linked_credentials": linked_credentials,
+    "op10_multiset_hash": multiset_fingerprints,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_mixed_sources": raking.mixture_sql()}
