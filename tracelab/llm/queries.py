@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, token_counts, token_store
+from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, token_counts, token_store
 from tracelab.llm.common import scratch_path
 
 
@@ -46,6 +46,10 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, "json", _file("byte_bpe_50k.json"), scratch_path(spark))
 
 
+def shingle_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.shingle_links(_table(spark, folder, "documents"))
+
+
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return raking.sampled(_table(spark, folder, "documents"))
 
@@ -60,6 +64,7 @@ def multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files,
+    "op2_shingle_join": shingle_classes,
     "op4_mixed_sources": mixed_sources,
     "op5_byte_bpe": bpe_round_trip,
     "op6_token_counts": counted_tokens,
