@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, token_counts, token_store
+from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store
 from tracelab.llm.common import scratch_path
 
 
@@ -50,6 +50,10 @@ def shingle_classes(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.shingle_links(_table(spark, folder, "documents"))
 
 
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_table(spark, folder, "documents"))
+
+
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return raking.sampled(_table(spark, folder, "documents"))
 
@@ -65,6 +69,7 @@ def multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files,
     "op2_shingle_join": shingle_classes,
+    "op3_suffix_dedup": without_repeats,
     "op4_mixed_sources": mixed_sources,
     "op5_byte_bpe": bpe_round_trip,
     "op6_token_counts": counted_tokens,
