@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store
+from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk
 from tracelab.llm.common import scratch_path
 
 
@@ -54,6 +54,10 @@ def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, folder, "documents"))
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"))
+
+
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return raking.sampled(_table(spark, folder, "documents"))
 
@@ -74,7 +78,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": bpe_round_trip,
     "op6_token_counts": counted_tokens,
     "op7_linked_credentials": linked_credentials,
+    "op8_topk_search": nearest_vectors,
     "op10_multiset_hash": multiset_fingerprints,
 }
 
-ORACLE: dict[str, str] = {"op4_mixed_sources": raking.mixture_sql()}
+TOP_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "op8_topk_search": TOP_SQL,
+    "op4_mixed_sources": raking.mixture_sql(),
+}
