@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk
+from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk, toxicity
 from tracelab.llm.common import scratch_path
 
 
@@ -58,6 +58,13 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"))
 
 
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, _table(spark, folder, "labels"))
+    found = toxicity.scored(docs, chain).withColumnRenamed("is_toxic", "toxic")
+    return found.select("doc_id", "toxic", *[f"p_{n}" for n in chain.names])
+
+
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return raking.sampled(_table(spark, folder, "documents"))
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": counted_tokens,
     "op7_linked_credentials": linked_credentials,
     "op8_topk_search": nearest_vectors,
+    "op9_toxicity_chain": toxic_documents,
     "op10_multiset_hash": multiset_fingerprints,
 }
 

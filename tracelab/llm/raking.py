@@ -105,17 +105,36 @@ def draw(doc_id: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def chances(docs: DataFrame, share: float = 0.6, power: float = 0.5, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, probability) of each cell, stored; targets default to tempered shares."""
+    cells = durable(cell_totals(measured(docs)))
+    targets = targets or {d: durable(tempered(cells, d, power)) for d in DIMENSIONS}
+    return durable(probabilities(rake(cells, targets), share).select(*DIMENSIONS, F.round("probability", 6).alias("probability")))
+
+
+def _met(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    n = cells.limit(CELLS_BROADCAST + 1).count()
+    return rows.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(DIMENSIONS))
+
+
 def sampled(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per document: doc_id, source, lang, topic, tokens, probability, kept."""
-    rows = measured(docs)
-    cells = durable(cell_totals(rows))
-    targets = targets or {d: durable(tempered(cells, d, power)) for d in DIMENSIONS}
-    chances = durable(probabilities(rake(cells, targets), share).select(*DIMENSIONS, "probability"))
-    n = chances.limit(CELLS_BROADCAST + 1).count()
-    both = rows.join(F.broadcast(chances) if n <= CELLS_BROADCAST else chances, list(DIMENSIONS))
-    return both.select(
-        "doc_id", *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.round("probability", 6)).alias("kept")
-    )
+    both = _met(measured(docs), chances(docs, share, power, targets))
+    return both.select("doc_id", *DIMENSIONS, "tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0) -> DataFrame:
+    """The rows of docs, with their columns, that the sample keeps."""
+    names = {"source": "_source", "lang": "_lang", "topic": "_topic"}
+    cells = chances(docs, share, power)
+    keyed = docs
+    for c in ("source", "lang"):
+        keyed = keyed.withColumn(names[c], F.coalesce(F.col(c).cast("string"), F.lit("(none)")))
+    keyed = keyed.withColumn("_topic", topic_of(text_of()))
+    cells = cells.withColumnsRenamed(names).withColumnRenamed("probability", "_probability")
+    n = cells.limit(CELLS_BROADCAST + 1).count()
+    both = keyed.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(names.values()))
+    return both.where(draw(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
 
 
 def mixture_sql(share: float = 0.6, power: float = 0.5, seed: int = 0, docs: str = "documents") -> str:
