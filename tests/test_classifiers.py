@@ -100,17 +100,26 @@ def test_runner(spark, data, tmp_path):
     assert run.scores.count() == 2 * 240  # equal settings are fitted once
     assert run.scores.groupBy("model_id", "exampleid").count().where("count > 1").count() == 0
     records = ex.model_records(run, data).collect()
-    assert len(records) == 2
+    assert len(records) == 3 and len({r.fitted_as for r in records}) == 2  # a record for every requested run
+    assert len({(r.model_id, r.hyperparameters) for r in records}) == 3
     for r in records:
         assert r.auc > 0.8 and len(r.tpr) == 300 and r.numfolds == 3 and r.base_rate == pytest.approx(0.25)
     top = ev.top_features(ex.importances(run, [f"f{i}" for i in range(6)]), 3)
     assert {r.feature for r in top.collect()} == {"f0", "f1", "f2"}
     rs.save_model_records(ex.model_records(run, data), str(tmp_path / "m"))
-    saved = rs.save_models({k: v for k, v in run.fitted.items() if k[0].startswith("RandomForest")}, str(tmp_path / "models"))
-    assert len(saved) == 3 and RandomForestClassificationModel.load(saved[0]).getNumTrees == 4
+    saved = f"{run.folder}/models/run=1/fold=2/part=0"
+    assert RandomForestClassificationModel.load(saved).getNumTrees == 4
+    curves = ex.fold_curves(run)
+    rs.save_fold_curves(curves, str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert stored.count() == curves.count() and stored.select("model_id", "fold").distinct().count() == 6
+    assert len(ex.grid_records(ex.generate_experiments())) == 555
 
 
 def test_open_world_runner(spark, data):
     world = data.withColumn("hs_url", F.concat(F.lit("u"), F.col("exampleid") % 40))
     run = ex.train_eval_all_folds(world, [ex.Experiment("GaussianNB", {})], ex.Options(world="open", observed_fraction=0.5))
     assert 0 < run.scores.count() < 240 and run.scores.select("fold").distinct().count() == 1
+    record = ex.model_records(run, world).first()
+    tested = run.scores.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    assert record.base_rate == pytest.approx(tested) and record.train_class_balance != record.base_rate

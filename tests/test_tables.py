@@ -133,6 +133,39 @@ def test_trace_log(spark, tmp_path):
     assert got == sorted(CELLS + [(11, *c[1:]) for c in CELLS])
 
 
+def test_odd_log_records(spark, tmp_path):
+    records = [
+        "17 INCOMING 4 5 RELAY 66",  # no labels, whole seconds
+        "1.5e3 OUTGOING CIRC 1, STREAM -1, COMMAND X, length -7",
+        "  0.1234567 INCOMING  CIRC 1,  STREAM 2,  COMMAND Y,  length 3 ",
+        "1.0 INCOMING CIRC 1, STREAM 2, COMMAND Y",  # five fields
+        "1.0 INCOMING CIRC x, STREAM 2, COMMAND Y, length 3",
+        "soon INCOMING CIRC 1, STREAM 2, COMMAND Y, length 3",
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "8.log").write_text("\n\n".join(records))
+    lines = tl.log_records(spark, str(tmp_path / "a"))
+    got = rows(tl.parse_records(lines, F.col("_trace")))
+    want = [(8, True, 4, 5, "RELAY", 66, 17_000_000), (8, False, 1, -1, "X", -7, 1_500_000_000), (8, True, 1, 2, "Y", 3, 123_457)]
+    assert got == sorted(want)
+    assert {r.value.strip() for r in tl.rejected_records(lines).collect()} == {r.strip() for r in records[3:]}
+    (tmp_path / "a" / "b").mkdir()
+    (tmp_path / "a" / "b" / "8.log").write_text(records[0])
+    with pytest.raises(ValueError):
+        tl.read_trace_logs(spark, str(tmp_path / "a"))
+
+
+def test_appends(spark, tmp_path):
+    sites = spark.createDataFrame([("c", "u2"), ("c", "u1")], "sorted_class string, hs_url string").selectExpr(
+        "*", "true as is_sd", "'v' as sd_version", "true as is_current", "timestamp_ntz '2017-01-01' as t_sort"
+    )
+    for n in (1, 2):
+        stored = tb.append_sites(sites, str(tmp_path / "s"))
+        assert sorted(r.hsid for r in stored.collect()) == list(range(1, 2 * n + 1))
+    crawls = tb.append_crawls(spark.createDataFrame([("DE", 30)], "country string, page_load_timeout int"), str(tmp_path / "c"))
+    assert [(r.crawlid, r.country, r.page_load_timeout, r.city) for r in crawls.collect()] == [(1, "DE", 30, None)]
+
+
 def test_feature_files(spark, tmp_path):
     for name, text in {"0-0s": "1 'X' 2.5 ", "0-2s": "3 4  5", "0-7s": "6 7 8", "1-1s": "'X' 'X' 1", "12s": "9 9 9"}.items():
         (tmp_path / name).write_text(text)

@@ -22,9 +22,17 @@ def shuffled_rank(
 def stratified_folds(
     df: DataFrame, id_col: str, label: str = "label", k: int = 10, seed: int | str = 0, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Adds ``fold``; each class is spread over the folds as evenly as possible."""
-    ranked = shuffled_rank(df, id_col, [label], seed, "_rank", group_rows)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    """Adds ``fold``; each class is spread over the folds as evenly as possible.
+
+    Only (id, label) is ranked. The folds are joined back by the id, so that wide rows meet no class-keyed exchange.
+    """
+    ranked = shuffled_rank(df.select(id_col, label).distinct(), id_col, [label], seed, "_rank", group_rows)
+    folds = ranked.select(id_col, label, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+    if set(df.columns) == {id_col, label}:
+        return folds
+    keyed = folds.withColumnsRenamed({id_col: "_id", label: "_label"})
+    same = df[id_col].eqNullSafe(keyed["_id"]) & df[label].eqNullSafe(keyed["_label"])
+    return df.join(keyed, same).select(*df.columns, "fold")
 
 
 def interleave_plan(

@@ -59,6 +59,7 @@ def _scaled(mean: Column, std: Column) -> Column:
 def standardised(rows: DataFrame) -> DataFrame:
     """Each row as a test row: scaled by the statistics of the folds that train for it."""
     stats = packed_stats(fold_stats(rows))
+    stats = F.broadcast(stats)  # a row per fold, as wide as the vectors
     return rows.join(stats, "fold").withColumn("features", _scaled(F.col("mean"), F.col("std"))).drop("mean", "std")
 
 

@@ -13,7 +13,8 @@ def labelled_world(features: DataFrame, examples: DataFrame, sites: DataFrame, w
     """Features with the label of their site, and its address in the open world."""
     extra = ["hs_url"] if world == "open" else []
     labels = examples.select("exampleid", "hsid").join(sites.select("hsid", "is_sd", *extra), "hsid")
-    return features.join(labels.drop("hsid"), "exampleid")
+    # arrays look small to the planner: the wide matrix must never be the side that is built
+    return features.join(labels.drop("hsid").hint("shuffle_hash"), "exampleid")
 
 
 def merged_cells(examples: DataFrame, sites: DataFrame, cells: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tracelab.operators import classifiers, evaluation
 from tracelab.operators.sampling import grid, open_world_split, stratified_folds
 from tracelab.operators.scale import fold_stats, packed_stats, scale_by
 from tracelab.session import durable, shared_folder
+from tracelab.sources.results import save_fit, save_importances
 
 # The parameter lists of the shipped grid.
 PARAMETERS: dict[str, dict[str, list]] = {
@@ -93,6 +94,7 @@ class Options:
     feature_scaling: bool = True
     seed: int = 0
     parallel_fits: int = 4
+    keep_models: bool = True
 
 
 @dataclass(frozen=True)
@@ -144,29 +146,49 @@ def fit_plan(folded: DataFrame, experiments: list[Experiment]) -> DataFrame:
     return plan.select("m.model_type", run.alias("run"), "fold", "n_train", "n_test")
 
 
+def grid_records(experiments: list[Experiment]) -> list[tuple[int, str, str, str, str, str]]:
+    """A row per requested run: (run, model_type, model_id, hyperparameters, effective, fitted_as).
+
+    Runs that agree after limits of the library share a fit; ``fitted_as`` is the model_id of that fit and
+    ``effective`` what it really used.
+    """
+    first = {e.effective(): e.model_id for e in distinct_fits(experiments)}
+    return [
+        (i, e.model_type, e.model_id, json.dumps(e.parameters, sort_keys=True), e.effective().partition(":")[2], first[e.effective()])
+        for i, e in enumerate(experiments)
+    ]
+
+
+GRID_SCHEMA = "run int, model_type string, model_id string, hyperparameters string, effective string, fitted_as string"
+
+
 @dataclass
 class Run:
-    """Scores of all models and folds, and the fitted objects by (model_id, fold)."""
+    """A run is its folder: scores, importances and models of each fit under run=<i>/fold=<f>."""
 
     scores: DataFrame
-    fitted: dict[tuple[str, int], classifiers.Fitted]
+    folder: str
     experiments: list[Experiment]
     options: Options
+    train_share: float | None = None
+    test_share: float | None = None
 
 
 def split(rows: DataFrame, options: Options) -> DataFrame:
-    """Rows with ``fold``. In the open world fold 0 tests and all others train."""
+    """Rows with ``fold``. In the open world fold 0 tests and all others train. Only narrow columns are ranked."""
     if options.world == "closed":
         return stratified_folds(rows, "exampleid", "label", options.num_kfolds, options.seed)
     if options.world != "open":
         raise ValueError("world is closed or open")
-    divided = open_world_split(rows, options.observed_fraction, options.num_kfolds, options.seed)
-    return divided.withColumn("fold", F.when(F.col("is_train"), 1).otherwise(0)).drop("is_train")
+    narrow = rows.select("exampleid", "hs_url", "label")
+    divided = open_world_split(narrow, options.observed_fraction, options.num_kfolds, options.seed)
+    folds = divided.select("exampleid", F.when(F.col("is_train"), 1).otherwise(0).alias("fold"))
+    return rows.join(folds, "exampleid")
 
 
 def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options: Options = Options()) -> Run:
-    """Fit every experiment on every fold of (exampleid, label, features array[, hs_url]) rows."""
-    folded = durable(split(rows, options).select("exampleid", "label", "features", "fold"))
+    """Fit every experiment on every fold of (exampleid, label, features array[, hs_url]) rows and store the results."""
+    folded = durable(split(durable(rows), options).select("exampleid", "label", "features", "fold"))
     folds = list(range(options.num_kfolds)) if options.world == "closed" else [0]
     stats = {}
     if options.feature_scaling:  # one row per fold, as wide as the vectors
@@ -174,24 +196,29 @@ def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options
 
     tasks = [(i, e, f) for i, e in enumerate(distinct_fits(experiments)) for f in folds if not stats or f in stats]
     spark = rows.sparkSession
-    table = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    def one(task: tuple[int, Experiment, int]):
+    def one(task: tuple[int, Experiment, int]) -> None:
         i, experiment, fold = task
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         if options.feature_scaling:
             train, test = scale_by(train, *stats[fold]), scale_by(test, *stats[fold])
         fitted = classifiers.fit(experiment.model_type, experiment.parameters, train, options.seed + fold)
         scored = fitted.score(test).withColumn("model_id", F.lit(experiment.model_id))
-        # Each run fills its own partition of the score table: all metrics read one table.
-        scored.write.mode("overwrite").parquet(f"{table}/run={i}/fold={fold}")
-        return (experiment.model_id, fold), fitted
+        # Each fit fills its own partition of the tables: all metrics read one table, and no fit stays in the driver.
+        scored.write.mode("overwrite").parquet(f"{folder}/scores/run={i}/fold={fold}")
+        save_importances(spark, experiment.model_id, fitted, f"{folder}/importances/run={i}/fold={fold}")
+        if options.keep_models:
+            save_fit(fitted, f"{folder}/models/run={i}/fold={fold}")
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_fits)) as pool:
-        done = dict(pool.map(one, tasks))
+        list(pool.map(one, tasks))
     schema = "exampleid bigint, label int, score double, model_id string, run int, fold int"
-    scores = spark.read.schema(schema).parquet(table)
-    return Run(scores.select("model_id", "fold", "exampleid", "label", "score"), done, experiments, options)
+    scores = spark.read.schema(schema).parquet(f"{folder}/scores")
+    share = lambda keep: folded.where(keep).agg(F.avg(F.col("label").cast("double"))).first()[0]
+    closed = options.world == "closed"  # every row trains and tests, in turn
+    shares = (share(F.lit(True)),) * 2 if closed else (share(F.col("fold") != 0), share(F.col("fold") == 0))
+    return Run(scores.select("model_id", "fold", "exampleid", "label", "score"), folder, experiments, options, *shares)
 
 
 def fold_records(run: Run) -> DataFrame:
@@ -200,37 +227,34 @@ def fold_records(run: Run) -> DataFrame:
 
 
 def model_records(run: Run, rows: DataFrame) -> DataFrame:
-    """One averaged record per model, with its settings and its mean curve."""
+    """One averaged record per requested run, with its settings, those really used, and the mean curve."""
     average = evaluation.average_metrics(fold_records(run), ["model_id"])
     curve = evaluation.mean_roc(run.scores, "fold", ["model_id"])
     points = F.sort_array(F.collect_list(F.struct("i", "fpr", "tpr")))  # as long as the grid
     curve = curve.groupBy("model_id").agg(points.alias("p"))
     curve = curve.select("model_id", F.col("p.fpr").alias("fpr"), F.col("p.tpr").alias("tpr"))
-    share = rows.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    settings = [
-        (e.model_id, e.model_type, json.dumps(e.parameters, sort_keys=True)) for e in distinct_fits(run.experiments)
-    ]
-    settings = rows.sparkSession.createDataFrame(settings, "model_id string, model_type string, hyperparameters string")
-    return average.join(curve, "model_id").join(settings, "model_id").withColumns(
+    grid_rows = rows.sparkSession.createDataFrame(grid_records(run.experiments), GRID_SCHEMA)  # control data
+    fits = average.join(curve, "model_id").withColumnRenamed("model_id", "fitted_as")
+    return grid_rows.join(fits, "fitted_as").withColumns(
         {
             "numfolds": F.lit(run.options.num_kfolds),
             "world_type": F.lit(run.options.world),
             "observed_world_fraction": F.lit(run.options.observed_fraction if run.options.world == "open" else None).cast("double"),
-            "train_class_balance": F.lit(share),
-            "base_rate": F.lit(share),
+            "train_class_balance": F.lit(run.train_share).cast("double"),
+            "base_rate": F.lit(run.test_share).cast("double"),
         }
     )
 
 
-def importances(run: Run, names: list[str], fold: int = 0) -> DataFrame | None:
+def fold_curves(run: Run) -> DataFrame:
+    """ROC corners of each model and fold as rows: (model_id, fold, threshold, fpr, tpr)."""
+    return evaluation.roc_points(run.scores, ["model_id", "fold"], drop_intermediate=True)
+
+
+def importances(run: Run, names: list[str], fold: int = 0) -> DataFrame:
     """(model_id, feature, importance) of the models that have importances."""
-    rows = [
-        (model_id, name, value)
-        for (model_id, f), fitted in run.fitted.items()
-        if f == fold and fitted.importances is not None
-        for name, value in zip(names, fitted.importances)
-    ]
-    if not rows:
-        return None
     spark = run.scores.sparkSession
-    return spark.createDataFrame(rows, "model_id string, feature string, importance double")
+    schema = "model_id string, i int, importance double, run int, fold int"
+    stored = spark.read.schema(schema).parquet(f"{run.folder}/importances").where(F.col("fold") == fold)
+    named = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return stored.join(F.broadcast(named), "i").select("model_id", "feature", "importance")

@@ -410,7 +410,32 @@ ORACLE |= {
          sizes as (select fold, count(*) as n_test, (select count(*) from folded) - count(*) as n_train
                    from folded group by fold)
          select model_type, run::int as run, fold, n_train, n_test from runs, sizes""",
-    "log_ingest": _with(TRACES) + "select exampleid, ingoing, circuit, stream, command, length, t_us from traces",
+    "log_ingest": _with(TRACES)
+    + """select exampleid, ingoing, circuit, case when cellid % 5 = 3 then -stream else stream end as stream, command,
+                case when cellid % 5 = 3 then -length else length end as length,
+                case when cellid % 5 = 2 then t_us // 1000000 * 1000000 else t_us end as t_us
+         from traces where cellid % 5 <> 4""",
+    "append_sites": _with(CLASSES)
+    + """, new as (select split_part(url, 'onion', 1) || 'onion' as hs_url, contains(class_name, 'sd') as is_sd, class_name as sorted_class
+                   from classes where class_name is not null)
+         select r * (select count(*) from new) + row_number() over (partition by r order by sorted_class, hs_url) as hsid,
+                hs_url, is_sd, sorted_class from new, range(2) t(r)""",
+    "append_crawls": """select row_number() over (order by s_name) as crawlid, s_name as entry_node, s_nationkey::int as asn, 'amd64' as os,
+         null::varchar as city from supplier""",
+    "stored_fold_curves": _with(SCORES, FOLDED, _BY_FOLD, CURVE)
+    + """select 'n_chars' as model_id, g as fold, round(score, 6) as threshold, round(fp / n_neg, 6) as fpr, round(tp / n_pos, 6) as tpr from (
+           select *, fp - lag(fp) over w as dx, tp - lag(tp) over w as dy, row_number() over w as i,
+                  lead(fp) over w - fp as next_dx, lead(tp) over w - tp as next_dy
+           from points window w as (partition by g order by score desc))
+         where i <= 2 or next_dx is null or next_dx <> dx or next_dy <> dy""",
+    "grid_records": _with(SCORES, FOLDED)
+    + """, runs as (
+           select 'RandomForest' as model_type, d * f as sharing
+           from (select unnest([1, 1, 2, 2]) as d), (select unnest([2, 1, 1, 1, 1, 1, 2]) as f), range(2 * 3 * 3)
+           union all select 'DecisionTreeClassifier', 1 from range(2 * 4 * 2 * 3)
+           union all select unnest(['ExtraTrees', 'RandomForestBagging', 'RandomForestBoosting']), 1)
+         select model_type, sharing::bigint as sharing, (select count(*) from folded) as tested,
+                (select count(distinct fold) from folded) as folds from runs""",
     "log_stream": _with(TRACES) + "select exampleid, ingoing, circuit, stream, command, length, t_us from traces",
     "feature_files": _with(INSTANCES)
     + """, named as (select *, row_number() over (partition by site order by id) as instance from instances),

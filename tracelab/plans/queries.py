@@ -202,6 +202,25 @@ def site_append(spark, folder):
     return st.site_rows(classes, NOW)
 
 
+@query
+def append_sites(spark, folder):
+    """The classified pages of two rounds, appended with keys and read back."""
+    path = _scratch(spark)
+    rows = st.site_rows(st.classified(src.table(spark, folder, "pages"), CLASS_RULES), NOW)
+    tb.append_sites(rows, path)
+    return tb.append_sites(rows, path).select("hsid", "hs_url", "is_sd", "sorted_class")
+
+
+@query
+def append_crawls(spark, folder):
+    """Suppliers as control records of crawls, appended with keys and read back."""
+    path = _scratch(spark)
+    rows = src.table(spark, folder, "supplier").select(
+        F.col("s_name").alias("entry_node"), F.col("s_nationkey").cast("int").alias("asn"), F.lit("amd64").alias("os")
+    )
+    return tb.append_crawls(rows, path).select("crawlid", "entry_node", "asn", "os", "city")
+
+
 @query
 def daily_examples(spark, folder):
     return status.rows_per_day(src.examples(spark, folder), "t_scrape")
@@ -536,9 +555,19 @@ def _scratch(spark):
 
 @query
 def log_ingest(spark, folder):
-    """Traces written as text logs, then read back by the log reader."""
+    """Traces written as text logs, by turns as written by default, without labels, with whole seconds, with negative
+    numbers, and with a field missing; then read back by the log reader."""
     path = _scratch(spark)
-    tl.write_trace_logs(src.traces(spark, folder), path)
+    lines = tl.log_lines(src.traces(spark, folder).withColumn("_turn", F.col("cellid") % 5), "_turn")
+    turn, value = F.col("_turn"), F.col("value")
+    value = (
+        F.when(turn == 1, F.regexp_replace(value, "CIRC |STREAM |COMMAND |length |,", ""))
+        .when(turn == 2, F.regexp_replace(value, r"^(\d+)\.\d+", "$1"))
+        .when(turn == 3, F.regexp_replace(value, r"(STREAM|length) ", "$1 -"))
+        .when(turn == 4, F.regexp_replace(value, r", length \d+$", ""))
+        .otherwise(value)
+    )
+    tl.write_log_lines(lines.select("exampleid", value.alias("value")), path)
     return tl.read_trace_logs(spark, path)
 
 
@@ -580,6 +609,25 @@ def append_examples(spark, folder):
     return out.select("exampleid", "hsid", "crawlid", F.col("l_shipdate").alias("t_scrape"))
 
 
+@query
+def stored_fold_curves(spark, folder):
+    """ROC corners of each fold, appended as rows and read back."""
+    path = _scratch(spark)
+    scores = _fold_scores(spark, folder).withColumn("model_id", F.lit("n_chars"))
+    rs.save_fold_curves(ev.roc_points(scores, ["model_id", "fold"], drop_intermediate=True), path)
+    return rounded(spark.read.parquet(path), 6)
+
+
+@query
+def grid_records(spark, folder):
+    """Every requested run of the shipped grid, how many runs share its fit, and the rows that its folds test on."""
+    grid = spark.createDataFrame(ex.grid_records(ex.generate_experiments()), ex.GRID_SCHEMA)
+    same = grid.groupBy("fitted_as").agg(F.count("*").alias("sharing"))
+    tested = _fold_scores(spark, folder).agg(F.count("*").alias("tested"), F.countDistinct("fold").alias("folds")).first()
+    rows = grid.join(same, "fitted_as").select("model_type", "sharing")
+    return rows.withColumns({"tested": F.lit(tested["tested"]).cast("bigint"), "folds": F.lit(tested["folds"]).cast("bigint")})
+
+
 @query
 def stored_fold_records(spark, folder):
     path = _scratch(spark)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tracelab.functions.columns import moment
+from tracelab.operators.classifiers import Fitted
 from tracelab.operators.evaluation import metric_names
 from tracelab.sources.tables import append_table
 
@@ -28,12 +29,21 @@ def save_scores(scores: DataFrame, path: str) -> str:
     return path
 
 
-def save_models(fitted: dict, path: str) -> list[str]:
-    """Every library model behind the fitted classifiers; returns the folders written."""
-    written = []
-    for n, ((_, fold), one) in enumerate(fitted.items()):
-        for i, model in enumerate(one.models):
-            target = f"{path}/run={n}/fold={fold}/part={i}"
-            model.write().overwrite().save(target)
-            written.append(target)
+def save_fold_curves(curves: DataFrame, path: str) -> str:
+    """Append the ROC corners of each model and fold as rows: a curve may be as long as its scores."""
+    return append_table(curves.select("model_id", "fold", "threshold", "fpr", "tpr"), path)
+
+
+def save_fit(fitted: Fitted, path: str) -> list[str]:
+    """Every library model behind a fitted classifier; returns the folders written."""
+    written = [f"{path}/part={i}" for i in range(len(fitted.models))]
+    for model, target in zip(fitted.models, written):
+        model.write().overwrite().save(target)
     return written
+
+
+def save_importances(spark: SparkSession, model_id: str, fitted: Fitted, path: str) -> str:
+    """(model_id, i, importance) of one fit; no rows for a classifier without importances."""
+    rows = [(model_id, i, float(x)) for i, x in enumerate(fitted.importances if fitted.importances is not None else ())]
+    spark.createDataFrame(rows, "model_id string, i int, importance double").coalesce(1).write.mode("overwrite").parquet(path)
+    return path

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.operators.ordered import GROUP_ROWS, OrderedGroups
+from tracelab.schemas import CRAWLS, SITES
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,6 +49,33 @@ def with_new_ids(new: DataFrame, existing: DataFrame, key: str, order: list[str]
     return numbered.select((F.lit(last) + F.col("_i")).cast("bigint").alias(key), *new.columns)
 
 
+def append_rows(new: DataFrame, path: str, schema: str, key: str, order: list[str]) -> DataFrame:
+    """Append rows with keys that follow the stored ones; returns the whole table.
+
+    One writer at a time: keys are taken from what is stored when the append begins.
+    """
+    spark = new.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # an empty table where there is none
+    existing = spark.read.schema(schema).parquet(path)
+    added = with_new_ids(new, existing, key, order).select(*[F.col(f.name).cast(f.dataType) for f in existing.schema])
+    append_table(added, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append_sites(new: DataFrame, path: str) -> DataFrame:
+    """Append sorted sites (``operators.sites.site_rows``) with new hsid keys."""
+    return append_rows(new, path, SITES.replace("hsid int", "hsid bigint"), "hsid", ["sorted_class", "hs_url", "t_sort"])
+
+
+def append_crawls(control: DataFrame, path: str) -> DataFrame:
+    """Append control records of crawls with new crawlid keys; columns that are absent are NULL."""
+    have = set(control.columns)
+    names = [c.split()[0] for c in CRAWLS.split(",")]
+    kinds = dict(c.split() for c in CRAWLS.split(","))
+    full = control.select(*[F.col(c) if c in have else F.lit(None).cast(kinds[c]).alias(c) for c in names if c != "crawlid"])
+    return append_rows(full, path, CRAWLS.replace("crawlid int", "crawlid bigint"), "crawlid", [c for c in names if c in have and c != "crawlid"])
+
+
 def cells_from_raw(traces: DataFrame) -> DataFrame:
     """Raw traces with decimal seconds as cells with whole microseconds."""
     return traces.withColumn("t_us", (F.col("t_trace") * 1_000_000).cast("bigint")).drop("t_trace")

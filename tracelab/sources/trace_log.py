@@ -5,52 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# How a record looks, and the text between records.
-RECORD = r"^\s*(\d+)\.(\d{1,6})\s+(\S+)\s+CIRC\s+(\d+),?\s+STREAM\s+(\d+),?\s+COMMAND\s+([^\s,]+),?\s+length\s+(\d+)\s*$"
+# The labels inside a record, the text between records, and the direction that counts as ingoing.
+LABELS = ("CIRC", "STREAM", "COMMAND", "length")
 BETWEEN = "\n\n"
 INCOMING = "INCOMING"
+FIELDS = ("time", "direction", "circuit", "stream", "command", "length")
 
 # The number of a trace: the last number in the folder or file name of its log.
 TRACE_ID = r"(\d+)(?:/part-[^/]*|[^/\d]*)$"
 
 
-def parse_records(lines: DataFrame, exampleid: Column) -> DataFrame:
-    """Cells from text records in ``value``; records of another form are left out."""
-    value = F.col("value")
+def _tokens(value: Column) -> Column:
+    """What is left of a record without its labels and commas."""
+    bare = F.regexp_replace(value, "|".join((*LABELS, ",")), " ")
+    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(value, RECORD, i)
+def _fields(lines: DataFrame) -> DataFrame:
+    rows = lines.withColumn("_t", _tokens(F.col("value")))
+    named = {f"_{name}": F.get("_t", F.lit(i)) for i, name in enumerate(FIELDS)}
+    rows = rows.withColumns(named)
+    for name in ("circuit", "stream", "length"):
+        rows = rows.withColumn(f"_{name}", F.expr(f"try_cast(_{name} as {'int' if name == 'length' else 'bigint'})"))
+    time = F.expr("try_cast(_time as decimal(38, 10))")
+    rows = rows.withColumn("_time", F.round(time * 1_000_000, 0).cast("bigint"))
+    whole = F.size("_t") == len(FIELDS)
+    for name in ("time", "circuit", "stream", "length"):
+        whole = whole & F.col(f"_{name}").isNotNull()
+    return rows.withColumn("_whole", F.coalesce(whole, F.lit(False)))
 
-    micros = group(1).cast("bigint") * 1_000_000 + F.rpad(group(2), 6, "0").cast("bigint")
-    return lines.where(value.rlike(RECORD)).select(
+
+def parse_records(lines: DataFrame, exampleid: Column) -> DataFrame:
+    """Cells from text records in ``value``: every record of six fields with numbers where they belong.
+
+    Labels and commas may be absent; times may be whole, fractional or in exponent form; numbers may be negative.
+    ``rejected_records`` gives the others.
+    """
+    return _fields(lines).where("_whole").select(
         exampleid.cast("bigint").alias("exampleid"),
-        (group(3) == INCOMING).alias("ingoing"),
-        group(4).cast("bigint").alias("circuit"),
-        group(5).cast("bigint").alias("stream"),
-        group(6).alias("command"),
-        group(7).cast("int").alias("length"),
-        micros.alias("t_us"),
+        (F.col("_direction") == INCOMING).alias("ingoing"),
+        F.col("_circuit").alias("circuit"),
+        F.col("_stream").alias("stream"),
+        F.col("_command").alias("command"),
+        F.col("_length").alias("length"),
+        F.col("_time").alias("t_us"),
     )
 
 
-def _trace_id() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), TRACE_ID, 1)
+def rejected_records(lines: DataFrame) -> DataFrame:
+    """The records that ``parse_records`` can't take; blank ones are none."""
+    return _fields(lines).where(~F.col("_whole") & (F.size("_t") > 0)).select(*lines.columns)
 
 
-def read_trace_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of the logs under ``path``, in one job over all files."""
+def _trace_id(pattern: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def log_records(spark: SparkSession, path: str, trace_id: str = TRACE_ID) -> DataFrame:
+    """(value, _trace): the text records under ``path`` with the number of their trace.
+
+    Two folders (or files outside one) with the same number would merge two traces; that is an error.
+    """
     lines = spark.read.option("lineSep", BETWEEN).option("recursiveFileLookup", True).text(path)
-    return parse_records(lines.select("value", _trace_id().alias("_trace")), F.col("_trace"))
+    rows = lines.select("value", _trace_id(trace_id).alias("_trace"), F.col("_metadata.file_path").alias("_path"))
+    log = F.regexp_replace("_path", "/part-[^/]*$", "")
+    clash = rows.groupBy("_trace").agg(F.min(log).alias("a"), F.max(log).alias("b")).where("a <> b").first()
+    if clash:
+        raise ValueError(f"trace {clash['_trace']} has two logs: {clash['a']} and {clash['b']}")
+    return rows.drop("_path")
 
 
-def stream_trace_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_trace_logs(spark: SparkSession, path: str, trace_id: str = TRACE_ID) -> DataFrame:
+    """All cells of the logs under ``path``, in one job over all files."""
+    return parse_records(log_records(spark, path, trace_id), F.col("_trace"))
+
+
+def stream_trace_logs(spark: SparkSession, path: str, trace_id: str = TRACE_ID) -> DataFrame:
     """The same cells as a stream: each new log file is read once when it appears."""
     lines = spark.readStream.option("lineSep", BETWEEN).option("recursiveFileLookup", True).text(path)
-    return parse_records(lines.select("value", _trace_id().alias("_trace")), F.col("_trace"))
+    return parse_records(lines.select("value", _trace_id(trace_id).alias("_trace")), F.col("_trace"))
 
 
-def log_lines(cells: DataFrame) -> DataFrame:
-    """Cells as text records: (exampleid, value)."""
+def log_lines(cells: DataFrame, *keep: str) -> DataFrame:
+    """Cells as text records: (exampleid, value, and columns to keep)."""
     value = F.format_string(
         "%d.%06d %s CIRC %d, STREAM %d, COMMAND %s, length %d",
         F.floor(F.col("t_us") / 1_000_000).cast("bigint"),
@@ -61,10 +98,14 @@ def log_lines(cells: DataFrame) -> DataFrame:
         "command",
         "length",
     )
-    return cells.select("exampleid", value.alias("value"))
+    return cells.select("exampleid", value.alias("value"), *keep)
 
 
 def write_trace_logs(cells: DataFrame, path: str) -> None:
     """One folder per trace. Traces share few tasks, and a large trace is split over several."""
-    lines = log_lines(cells).hint("rebalance", "exampleid")
-    lines.write.option("lineSep", BETWEEN).partitionBy("exampleid").text(path)
+    write_log_lines(log_lines(cells), path)
+
+
+def write_log_lines(lines: DataFrame, path: str) -> None:
+    """Text records (exampleid, value), one folder per trace."""
+    lines.hint("rebalance", "exampleid").write.option("lineSep", BETWEEN).partitionBy("exampleid").text(path)
