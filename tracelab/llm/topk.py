@@ -9,8 +9,8 @@ smaller id.
 
 A vector that is null or holds a null or a component that is not finite takes no part, nor does one without an id.
 Queries meet vectors of their own length only. Repeated rows of an id count once each as candidates, never for a query
-of that id, and as one query if they are equal. Components are expected to stay below 2 ** 31 in size after scaling;
-larger ones are cut to that.
+of that id, and as one query if they are equal. Components beyond 2 ** 62 after scaling, and scores beyond a long, are
+cut to that; arithmetic is in floating point where every score is exact in it, else in Python's integers.
 
 Work is rows of (block of queries, shard), dealt by shard; a task holds one tree and one block. Trees are written to
 the shared folder once. With few shards the queries' blocks are spread over copies of a shard.
@@ -32,7 +32,7 @@ from tracelab.session import durable
 
 SHARD_ROWS, LEAF_ROWS = 4096, 128
 BLOCK_QUERIES = 256
-_BOUND = 1 << 31
+_BOUND = 1 << 62
 
 
 class KdTree:
@@ -105,7 +105,8 @@ def integer_vectors(table: DataFrame, scale: int, vec: str = "embedding", key: s
     """(vec_id, v, d): valid vectors as integers."""
     x = F.col(vec)
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    cut = lambda c: F.greatest(F.least(F.floor(c.cast("double") * scale), F.lit(_BOUND)), F.lit(-_BOUND))
+    bound = F.lit(float(_BOUND))
+    cut = lambda c: F.floor(F.greatest(F.least(c.cast("double") * scale, bound), -bound))
     rows = table.where(x.isNotNull() & F.col(key).isNotNull() & F.coalesce(good, F.lit(False)))
     return rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(x, cut).alias("v"), F.size(x).alias("d"))
 
