@@ -16,7 +16,16 @@ def steps(df, keys, rows):
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("rows", [5, 37])
 def test_slices_match_plain_windows(spark, keys, rows):
-    # key 0 holds most rows; n is NULL on most rows, so neighbours and maxima may be NULL
-    data = [(i, 0 if i % 3 else i % 7, (i * 7919) % 50, i % 11, i if i % 13 == 12 else None) for i in range(300)]
+    # no key and key 0 hold most rows; n is NULL on most rows, so neighbours and maxima may be NULL
+    data = [(i, (None, 0)[i % 3 - 1] if i % 3 else i % 7, (i * 7919) % 50, i % 11, i if i % 13 == 12 else None) for i in range(300)]
     df = spark.createDataFrame(data, "id bigint, k int, t int, v bigint, n bigint").repartition(5)
     assert steps(df, keys, rows) == steps(df, keys, 10_000)
+
+
+def test_plans_of_sliced_groups_stay_short(spark):
+    df = spark.createDataFrame([(i, i % 2, i % 50, i % 11) for i in range(200)], "id bigint, k int, t int, v bigint")
+    g = OrderedGroups(df, ["k"], ["t", "id"], 20)
+    for n in range(4):
+        g = g.running(sums={f"s{n}": F.col("v")}).previous(**{f"p{n}": F.col("v")})
+    plan = g.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 5 and plan.count("Join") <= 6

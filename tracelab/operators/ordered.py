@@ -23,6 +23,14 @@ GROUP_ROWS = 4_000_000
 _SLICE = "_slice"
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on the keys, where NULL matches NULL: rows without a key form a group too."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(Column.__and__, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
+    joined = left.join(right, same, how)
+    return joined if how.startswith("left_") else joined.drop(*[f"_r_{k}" for k in keys])
+
+
 class OrderedGroups:
     """Rows of ``df`` grouped by ``keys`` and totally ordered by ``order`` (ascending)."""
 
@@ -52,8 +60,8 @@ class OrderedGroups:
         total = big.agg(F.sum("_n")).first()[0]
         if not total:
             return df, None
-        small = df.join(big.select(*self.keys), self.keys, "left_anti")
-        large = df.join(big.select(*self.keys), self.keys, "left_semi")
+        small = _matched(df, big.select(*self.keys), self.keys, "left_anti")
+        large = _matched(df, big.select(*self.keys), self.keys, "left_semi")
         return small, self._slices(large, total)
 
     def _slices(self, df: DataFrame, rows: int) -> DataFrame:
@@ -62,9 +70,11 @@ class OrderedGroups:
         # Written once: the slice of a row must not change when a task runs again.
         return durable(cut.withColumn(_SLICE, F.spark_partition_id()))
 
-    def _with(self, small: DataFrame | None, large: DataFrame | None) -> OrderedGroups:
+    def _with(self, small: DataFrame | None, large: DataFrame | None, stored: bool = True) -> OrderedGroups:
+        """``stored``: write the slices, as each step joins them with a sum of themselves; a plan over plans would
+        double with every step."""
         other = copy.copy(self)
-        other.small, other.large = small, large
+        other.small, other.large = small, durable(large) if stored and large is not None else large
         return other
 
     def _window(self, *extra: str):
@@ -72,7 +82,7 @@ class OrderedGroups:
 
     def derive(self, **columns: Column) -> OrderedGroups:
         """Add columns that depend on their own row only."""
-        return self._with(*[p.withColumns(columns) if p is not None else None for p in (self.small, self.large)])
+        return self._with(*[p.withColumns(columns) if p is not None else None for p in (self.small, self.large)], stored=False)
 
     def previous(self, **columns: Column) -> OrderedGroups:
         """Value of each expression on the row before, NULL on the first row of a group."""
@@ -95,7 +105,7 @@ class OrderedGroups:
                 "_edge", shift("_edge").over(Window.partitionBy(*self.keys).orderBy(_SLICE))
             )
             w = self._window(_SLICE)
-            large = self.large.join(edges, self.keys + [_SLICE]).withColumn("_here", shift(packed).over(w))
+            large = _matched(self.large, edges, self.keys + [_SLICE]).withColumn("_here", shift(packed).over(w))
             large = large.withColumns(
                 {n: F.when(F.col("_here").isNull(), F.col("_edge")[n]).otherwise(F.col("_here")[n]) for n in columns}
             ).drop("_edge", "_here")
@@ -116,7 +126,7 @@ class OrderedGroups:
             )
             totals = totals.withColumns({f"_b_{n}": agg(f"_b_{n}").over(before) for n, _, agg, _ in steps})
             w = self._window(_SLICE).rowsBetween(Window.unboundedPreceding, 0)
-            large = self.large.join(totals, self.keys + [_SLICE])
+            large = _matched(self.large, totals, self.keys + [_SLICE])
             large = large.withColumns({n: agg(c).over(w) for n, c, agg, _ in steps})
             large = large.withColumns(
                 {n: F.coalesce(join(F.col(n), F.col(f"_b_{n}")), n, f"_b_{n}") for n, _, _, join in steps}
@@ -133,7 +143,7 @@ class OrderedGroups:
             sums = self.large.groupBy(*self.keys).agg(*[F.sum(c).alias(n) for n, c in columns.items()])
             # At most rows / group_rows groups are large; see _split.
             if self.keys:
-                large = self.large.join(sums, self.keys)
+                large = _matched(self.large, sums, self.keys)
             else:
                 only = sums.first()
                 large = self.large.withColumns({n: F.lit(only[n]) for n in columns})
