@@ -46,6 +46,9 @@ BURSTS = """bursts as (
         from positions)
   group by exampleid, ingoing, island)"""
 
+#: A link that only some pages hold: a path that begins with one of three letters.
+PARTIAL_PATTERN = 'href="/[a-c]'
+
 FEATURE_VIEWS = ",\n".join([TRACES, POSITIONS, OUTGOING, BURSTS])
 
 
@@ -136,6 +139,7 @@ ORACLE: dict[str, str] = {
     "burst_thresholds": _with(FEATURE_VIEWS) + THRESHOLDS,
     "burst_lengths": _with(FEATURE_VIEWS) + LENGTHS,
     "master_matrix": _with(MASTER_VIEWS) + "select * from master",
+    "master_matrix_long": _with(MASTER_VIEWS).replace("user_id as exampleid", "user_id % 3 as exampleid") + "select * from master",
 }
 
 # --- world, sites, status -------------------------------------------------------------
@@ -169,6 +173,9 @@ ORACLE |= {
     + """select case when is_sd then 'sd_038' else 'nonmonitored' end as class_name, hs_url, hsid from recent""",
     "url_ids": _with(EXAMPLES, SITES, SITES_SORTED, RECENT)
     + "select hs_url, arg_max(hsid, (is_sd, hsid)) as hsid from recent group by hs_url",
+    "url_ids_clash": _with(EXAMPLES, SITES.replace("concat('http://', c_name, '.onion')", "concat('http://site', c_custkey % 97, '.onion')"), SITES_SORTED, RECENT)
+    + "select hs_url, arg_max(hsid, (is_sd, hsid)) as hsid from recent group by hs_url",
+    "empty_pages_partly": f"select url from pages where not regexp_matches(html, '{PARTIAL_PATTERN}')",
     "page_links": """select distinct url from (
          select 'http://directory' || unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as url from pages
          union all select url from pages)""",
@@ -238,6 +245,7 @@ ORACLE |= {
 
 # --- evaluation ----------------------------------------------------------------------
 
+# The shares of flagged rows, in percent, and the names of their metrics.
 SHARES = [0.01, 0.05, 0.1, 0.5, 1, 5, 10]
 SHARE_NAMES = [
     "0_point_01_percent", "0_point_05_percent", "0_point_1_percent", "0_point_5_percent", "1_percent", "5_percent",
@@ -345,6 +353,13 @@ ORACLE |= {
     + "select id, rank, neighbour, round(dist, 6) as dist from near",
     "knn_euclidean": _with(INSTANCES, _neighbours("instances", "list_distance(a.f, b.f)", 5))
     + "select id, rank, neighbour, round(dist, 6) as dist from near",
+    "knn_missing": _with(
+        INSTANCES.replace(
+            "embedding::double[] as f", "list_transform(embedding::double[], lambda x, j: case when (vec_id * 7 + (j - 1) * 5) % 11 = 0 then -1 else x end) as f"
+        ),
+        _neighbours("instances", _L1, 5),
+    )
+    + "select id, rank, neighbour, round(dist, 6) as dist from near",
     "knn_same_other": _with(
         INSTANCES, _neighbours("instances", _L1, 5, "case when a.site = b.site then 'same' else 'other' end")
     )

@@ -127,11 +127,19 @@ def master_matrix(spark, folder):
     return ft.widen(rounded(ft.feature_families(numbered(spark, folder))))
 
 
+@query
+def master_matrix_long(spark, folder):
+    """The matrix of three traces of thousands of cells, so that all positions, windows and bursts are filled."""
+    cells = src.traces(spark, folder).withColumn("exampleid", F.col("exampleid") % 3)
+    return ft.widen(rounded(ft.feature_families(ft.number_cells(cells))))
+
+
 # --- world, sites, status -------------------------------------------------------------
 
 NOW = datetime(2001, 8, 2)
 LOOKBACK = "52w"
 LINK_PATTERN = 'href="([^"]+)"'
+PARTIAL_PATTERN = 'href="/[a-c]'  # only some pages hold such a link
 CLASS_RULES = [
     ("sd_fr", "contains(text, 'lang=\"fr\"')"),
     ("sd_de", "contains(text, 'lang=\"de\"')"),
@@ -181,6 +189,19 @@ def url_ids(spark, folder):
     return st.url_ids(st.recent_sites(src.sites_sorted(spark, folder), NOW, LOOKBACK))
 
 
+@query
+def url_ids_clash(spark, folder):
+    """Ids of addresses that several sites share, of both classes."""
+    shared = F.concat(F.lit("http://site"), F.col("hsid") % 97, F.lit(".onion"))
+    return st.url_ids(st.recent_sites(src.sites_sorted(spark, folder).withColumn("hs_url", shared), NOW, LOOKBACK))
+
+
+@query
+def empty_pages_partly(spark, folder):
+    """Pages without a link of a form that only some pages hold."""
+    return st.empty_pages(src.table(spark, folder, "pages"), PARTIAL_PATTERN, 0)
+
+
 @query
 def page_links(spark, folder):
     return st.page_links(src.table(spark, folder, "pages"), LINK_PATTERN, 1, "http://directory")
@@ -273,6 +294,7 @@ def semi_cells(spark, folder):
 @query
 def masked_sample(spark, folder):
     orders = src.table(spark, folder, "orders")
+    # What stands in for the masked columns.
     return sm.masked(orders, {"o_orderstatus": "X", "o_orderpriority": "1A2B3C4D"})
 
 
@@ -374,6 +396,15 @@ def knn_euclidean(spark, folder):
     return rounded(nb.nearest(i, i, 5, metric="euclidean", missing=None).select("id", "rank", "neighbour", "dist"), 6)
 
 
+@query
+def knn_missing(spark, folder):
+    """Neighbours where features are missing here and there."""
+    i = src.instances(spark, folder)
+    holes = F.transform("features", lambda x, j: F.when((F.col("id") * 7 + j * 5) % 11 == 0, F.lit(-1.0)).otherwise(x))
+    i = i.withColumn("features", holes)
+    return rounded(nb.nearest(i, i, 5).select("id", "rank", "neighbour", "dist"), 6)
+
+
 @query
 def knn_same_other(spark, folder):
     i = src.instances(spark, folder)
@@ -411,7 +442,8 @@ def knn_distance(spark, folder):
 
 @query
 def knn_weights(spark, folder):
-    learned = wt.learn_weights(_knn_instances(spark, folder), rounds=3)
+    closed = _knn_instances(spark, folder).where(F.col("site") < FIRST_OPEN_SITE)
+    learned = wt.learn_weights(closed, rounds=10)
     return spark.createDataFrame(list(enumerate(learned)), "feature int, weight double")
 
 
@@ -433,7 +465,7 @@ def _instance_rows(spark, folder):
 def _model(name, model_type, **parameters):
     def run(spark, folder):
         rows = world_rows(spark, folder)
-        return ex.train_eval_all_folds(rows, [ex.Experiment(model_type, parameters)], ex.Options(num_kfolds=3)).scores
+        return ex.train_eval_all_folds(rows, [ex.Experiment(model_type, parameters)], ex.Options(keep_models=False)).scores
 
     run.__name__ = name
     return query(run)
@@ -475,7 +507,7 @@ _model(
 @query
 def model_importances(spark, folder):
     """The features that matter most to a fitted forest."""
-    run = ex.train_eval_all_folds(world_rows(spark, folder), [ex.Experiment("RandomForest", _FOREST)], ex.Options(num_kfolds=3))
+    run = ex.train_eval_all_folds(world_rows(spark, folder), [ex.Experiment("RandomForest", _FOREST)], ex.Options(keep_models=False))
     return ev.top_features(ex.importances(run, ft.feature_names()), 30)
 
 
@@ -486,13 +518,13 @@ def model_records(spark, folder):
         ex.Experiment("GaussianNB", {}),
         ex.Experiment("DecisionTreeClassifier", {"max_depth": 5, "max_features": "sqrt", "criterion": "gini", "min_samples_split": 2}),
     ]
-    return ex.model_records(ex.train_eval_all_folds(rows, experiments, ex.Options(num_kfolds=3)), rows)
+    return ex.model_records(ex.train_eval_all_folds(rows, experiments, ex.Options(keep_models=False)), rows)
 
 
 @query
 def model_open_world(spark, folder):
     rows = world_rows(spark, folder, "open")
-    return ex.train_eval_all_folds(rows, [ex.Experiment("GaussianNB", {})], ex.Options(world="open")).scores
+    return ex.train_eval_all_folds(rows, [ex.Experiment("GaussianNB", {})], ex.Options(world="open", keep_models=False)).scores
 
 
 # --- scaling, naive Bayes, rankings of models and features --------------------------------
