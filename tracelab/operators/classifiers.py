@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -334,8 +335,11 @@ def _huber_sums(w: np.ndarray, b: float):
     return run
 
 
-def modified_huber(penalty: str, train: DataFrame, alpha: float = SGD_ALPHA, steps: int = 25) -> Fitted:
-    """Accelerated gradient descent; every step is one pass that sums gradients per partition."""
+def modified_huber(penalty: str, train: DataFrame, alpha: float = SGD_ALPHA, steps: int = 100, tolerance: float = 1e-2) -> Fitted:
+    """Accelerated gradient descent; every step is one pass that sums gradients per partition.
+
+    Ends when a step is at most ``tolerance`` times the first one; warns if ``steps`` did not get there.
+    """
     facts = train.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.size("features")).alias("dims"),
@@ -344,7 +348,7 @@ def modified_huber(penalty: str, train: DataFrame, alpha: float = SGD_ALPHA, ste
     l1 = {"l1": 1.0, "l2": 0.0, "elasticnet": SGD_L1_RATIO}[penalty]
     step = 1.0 / (2.0 * (facts["norm"] + 1.0) + alpha)
     w = np.zeros(facts["dims"] + 1)
-    ahead, momentum = w.copy(), 1.0
+    ahead, momentum, first = w.copy(), 1.0, 0.0
     for _ in range(steps):
         sums = train.select("label", "features").mapInPandas(_huber_sums(ahead[:-1], ahead[-1]), "g array<double>")
         sums = sums.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
@@ -353,7 +357,13 @@ def modified_huber(penalty: str, train: DataFrame, alpha: float = SGD_ALPHA, ste
         new = ahead - step * gradient
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * alpha * l1, 0.0)
         following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        moved = float(np.abs(new - ahead).max())
         ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
+        first = first or moved
+        if moved <= tolerance * first:
+            break
+    else:
+        warnings.warn(f"modified_huber: the step is still {moved / first:.2g} of the first after {steps} steps", stacklevel=2)
     product = F.aggregate(F.zip_with("features", literal_array(w[:-1]), lambda x, c: x * c), F.lit(float(w[-1])), lambda s, x: s + x)
     score = (F.least(F.greatest(product, F.lit(-1.0)), F.lit(1.0)) + 1) / 2
     return Fitted(lambda rows: _scores(rows, score), [float(x) for x in w[:-1]])
