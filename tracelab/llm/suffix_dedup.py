@@ -8,8 +8,8 @@ Each start is dealt by an anchor, the 128-byte gram with the least hash among th
 equal strings meet in one bucket. Neighbouring starts mostly have one anchor and form a segment.
 
 1. Documents with equal texts are one from here on; a copied text of LENGTH bytes or more goes altogether.
-2. Segments (anchor hash, digest of their bytes, place) are counted by anchor; those alone with theirs repeat nothing.
-   Equal segments repeat each other. Anchors with several different segments remain, one of each kind.
+2. Segments (anchor hash, digest of their bytes, place) are counted by anchor, first within slices of texts; those alone
+   with theirs repeat nothing. Equal segments repeat each other. Anchors with several different segments remain, one of each kind.
 3. The bytes of those are fetched, dealt by anchor and suffix sorted (`suffix_sort`) a few hundred kilobytes at a time;
    neighbours in that order with a common prefix of LENGTH bytes are repeats.
 4. An anchor with more than HOT kinds of segments, such as one inside a passage of a third of all documents, is not
@@ -75,11 +75,17 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return h[anchor[first]], first, last
 
 
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_SEGMENTS = pa.schema(
+    [("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]
+)
 
 
 def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, digest, doc_id, first, last) of every segment. Texts of a slice are hashed together."""
+    """(anchor, digest, doc_id, first, last, n): a row for each kind of segment of a slice of texts, seen n times there,
+    and rows without anchor for those seen more than once, which are repeats whatever else there is.
+
+    Texts of a slice are hashed together. A text that repeats a phrase for pages so gives a few rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -98,11 +104,21 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             last = np.minimum(last, begin[of] + sizes[of] - length)
             good = last >= first
             anchor, first, last, of = anchor[good], first[good], last[good], of[good]
-            digest = [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+            digest = np.array([xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
             ids, off = np.array([i for i, _, _ in held]), np.array([o for _, o, _ in held])
+            doc, first, last = ids[of], first - begin[of] + off[of], last - begin[of] + off[of]
+            kinds = np.column_stack([anchor, digest])
+            _, one, which, n = np.unique(kinds, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            known = np.flatnonzero(n[which.ravel()] > 1)
+            fresh = np.ones(len(known), bool)  # the first of neighbouring segments
+            fresh[1:] = (of[known[1:]] != of[known[:-1]]) | (first[known[1:]] != last[known[:-1]] + 1)
+            begins, ends = known[fresh], known[np.append(fresh[1:], True)] if len(known) else known
+            none = [None] * len(begins)
             return records(
-                _SEGMENTS, anchor=anchor.view(np.int64), digest=np.array(digest, np.uint64).view(np.int64), doc_id=ids[of],
-                first=first - begin[of] + off[of], last=last - begin[of] + off[of],
+                _SEGMENTS,
+                anchor=[*anchor[one].view(np.int64).tolist(), *none], digest=[*digest[one].view(np.int64).tolist(), *none],
+                doc_id=np.concatenate([doc[one], doc[begins]]), first=np.concatenate([first[one], first[begins]]),
+                last=np.concatenate([last[one], last[ends]]), n=np.concatenate([n, np.zeros(len(begins), np.int64)]),
             )
 
         held: list[tuple[int, int, bytes]] = []
@@ -119,7 +135,7 @@ def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, digest long, doc_id long, first long, last long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, digest long, doc_id long, first long, last long, n long")
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
@@ -246,9 +262,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     copies = durable(named.where("doc_id <> rep").select("doc_id").distinct())
     lone = pick(docs, copies, "doc_id", "left_anti")
     rows = durable(_segment_rows(lone, length, gram))
-    several = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    known = rows.where("anchor is null").select("doc_id", "first", "last")
+    rows = rows.where("anchor is not null")
+    several = rows.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     rows = durable(rows.join(several, "anchor"))
-    kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
+    kinds = rows.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
     kinds = durable(kinds)
     equal = rows.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "first", "last")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -258,7 +276,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     hot = parts.where("hot").select("anchor", "doc_id", "first", "high", "low")
     twice = hot.groupBy("anchor", "high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = hot.join(twice, ["anchor", "high", "low"], "left_semi").select("doc_id", "first", F.col("first").alias("last"))
-    starts = equal.unionByName(found).unionByName(dealt)
+    starts = known.unionByName(equal).unionByName(found).unionByName(dealt)
     # a text that was copied goes as a whole, whatever its parts
     whole = named.where((F.col("copies") > 1) & (F.col("n_bytes") >= length))
     starts = starts.join(whole.select("doc_id").distinct(), "doc_id", "left_anti")
