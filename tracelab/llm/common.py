@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelab.session import shared_folder
 
-SLICE_BYTES = 4 << 20  # of text that a Python task holds as objects at a time
+SLICE_BYTES = 2 << 20  # of text that a Python task holds as objects at a time
 BROADCAST_ROWS = 1_000_000  # of long ids: 8 MB; a larger side is joined by a shuffle
 
 

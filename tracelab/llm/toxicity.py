@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tracelab.llm.common import records, slices, text_of
 from tracelab.session import durable
 
-SAMPLE, SCREENED, FOLDS, RIDGE = 20_000, 256, 5, 1.0
+SAMPLE, SCREENED, FOLDS, RIDGE = 10_000, 256, 5, 1.0
 LEAST_Z, LEAST_SUPPORT = 4.0, 0.001  # support: share of the sample's documents, three at least
 #: Weak labels of the kinds of toxicity: a toxic document with one of these words.
 KINDS = {
