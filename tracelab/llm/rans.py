@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 20  # frequencies add up to 2 ** BITS
-LANES, EVERY, BLOCK = 512, 256, 1 << 19
+LANES, EVERY, BLOCK = 1024, 256, 1 << 20
 _LOW = np.uint64(1 << 31)  # states stay in [2 ** 31, 2 ** 63)
 _WORD, _BITS, _ROOM = np.uint64(32), np.uint64(BITS), np.uint64(63 - BITS)
 

@@ -14,6 +14,7 @@ lost executor do not encode them again. Only packed ids are shuffled.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +30,13 @@ from tracelab.llm import rans
 from tracelab.llm.common import per_process, records, slices
 from tracelab.session import durable
 
-#: Texts of these characters alone are split here; their classes are the same in every version of Unicode.
-_PLAIN = regex.compile(r"[\x00-ſ‘-”]*")
+#: Texts of these characters alone are split here; their classes are the same in every version of Unicode. No white
+#: space but the blank and the line end; with no blank beside either, a text may be cut before each blank.
+_PLAIN = regex.compile(r"[\n\x20-\x7e\u00a1-\u017f\u2018-\u201d]*+")
+_BESIDE = ("  ", " \n", "\n ")
 SHARD_TOKENS, MOST_SHARDS = 4 << 20, 20_000
-MEMO_WORDS = 300_000
-_PACKED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary())])
+MEMO_WORDS, MEMO_PIECES = 200_000, 400_000  # distinct pre-tokens and blank-separated pieces that a worker remembers
+_PACKED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
 BLOCKS = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
@@ -62,8 +65,9 @@ _BLOCKS = pa.schema(
 
 
 class LibraryCoder:
-    """Ids by the tokenizers library. A tokenizer whose pre-tokens never merge with each other meets each distinct
-    pre-token once; texts with other characters or with a special string go to the library whole."""
+    """Ids by the tokenizers library. For a tokenizer whose pre-tokens never merge with each other, a plain text is cut
+    before its blanks, each distinct piece is split once by the pattern, and the library meets each distinct pre-token
+    once; texts with other characters or with a special string go to the library whole."""
 
     def __init__(self, data: bytes, pattern: str | None):
         import os
@@ -76,29 +80,67 @@ class LibraryCoder:
         self.tokenizer.no_padding()
         self.split = regex.compile(pattern).findall if pattern else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.letter = {}  # the library's character for each byte
+        if pattern:
+            for c in map(chr, (*range(0x180), *range(0x2018, 0x201E))):
+                spelled = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+                self.letter |= {b: x for b, x in zip(c.encode(), spelled)}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of what follows a blank, the blank included
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        ids = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
+    def model_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, by the library's model without its splitting."""
+        tokenize, letter = self.tokenizer.model.tokenize, self.letter
+        blank = letter[32]  # the library spells printable ASCII as itself, but for the blank
+        spelled = (
+            w.replace(" ", blank) if w.isascii() and "\n" not in w else w.encode().decode("latin-1").translate(letter) for w in words
+        )
+        return [struct.pack(f"<{len(x)}I", *[t.id for t in x]) for x in map(tokenize, spelled)]
+
+    def split_up(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        pieces, new = self.pieces, []
+        for w in set().union(*split).difference(self.words):
+            if w[0] == " " and w[1:] in pieces and w[1:].isalpha():
+                self.words[w] = pieces[w[1:]]
+            else:
+                new.append(w)
+        self.words.update(zip(new, self.model_ids(new)))
+        known = self.words.__getitem__
+        return [b"".join(map(known, w)) for w in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self.whole(texts)
-        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [self.split(t) for t, p in zip(texts, plain) if p]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in set().union(*words) if w not in self.memo]
-        self.memo.update(zip(new, self.whole(new)))
-        known = self.memo.__getitem__
-        short = iter([b"".join(map(known, w)) for w in words])
+        avoid = (*self.special, *_BESIDE)
+        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in avoid) for t in texts]
+        cut = [t.split(" ") for t, p in zip(texts, plain) if p]
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces.clear()
+        heads = [c.pop(0) for c in cut]
+        new = set().union(*cut).difference(self.pieces)
+        letters = [w for w in new if w.isalpha()]  # a blank and letters are one pre-token
+        self.pieces.update(zip(letters, self.model_ids([" " + w for w in letters])))
+        others = [w for w in new if not w.isalpha()]
+        ids = self.split_up([" " + w for w in others] + heads)
+        self.pieces.update(zip(others, ids))
+        known = self.pieces.__getitem__
+        short = iter([head + b"".join(map(known, c)) for head, c in zip(ids[len(others) :], cut)])
         rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         return [next(short) if p else next(rest) for p in plain]
 
 
 def packed_ids(docs: DataFrame, tokenizer: bytes, end: int, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, packed: the ids of each text and `end`, as zstd over the planes of their bytes."""
+    """doc_id, n_tokens, packed: the ids of each text and `end`, as zstd over the planes of their bytes.
+
+    Each task adds rows (token, n) with its counts of ids, which are few: at most one for each id of the vocabulary.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, pattern))  # its size is fixed
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +148,24 @@ def packed_ids(docs: DataFrame, tokenizer: bytes, end: int, pattern: str | None
         coder = per_process(("library", hash(data), pattern), lambda: LibraryCoder(data, pattern))
         press = zstandard.ZstdCompressor(level=3)
         tail = np.array([end], "<u4").tobytes()
+        total = np.zeros(0, np.int64)
         for part in slices(batches, "text"):
             ids = [x + tail for x in coder.encode([t or "" for t in part.column("text").to_pylist()])]
+            own = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+            own[: len(total)] += total
+            total = own
             planes = [np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes() for x in ids]
+            k = len(ids)
             yield records(
-                _PACKED,
-                doc_id=part.column("doc_id"),
-                n_tokens=[len(x) // 4 for x in ids],
-                packed=[press.compress(x) for x in planes],
-            )
+                _PACKED, doc_id=part.column("doc_id"), n_tokens=[len(x) // 4 for x in ids],
+                packed=[press.compress(x) for x in planes], token=[None] * k, n=[None] * k,
+            )
+        at = np.flatnonzero(total)
+        gone = [None] * len(at)
+        yield records(_PACKED, doc_id=gone, n_tokens=gone, packed=gone, token=at, n=total[at])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInArrow(run, "doc_id long, n_tokens long, packed binary")
+    return columns.mapInArrow(run, "doc_id long, n_tokens long, packed binary, token long, n long")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -125,26 +173,6 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def token_frequencies(packed: DataFrame) -> DataFrame:
-    """(token, n): counts over all documents, summed per task before they are shuffled."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for part in slices(batches, "packed"):
-            for data in part.column("packed").to_pylist():
-                own = np.bincount(_unpacked(data))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
-
-    counts = packed.select("packed").mapInArrow(run, "token long, n long")
-    return counts.groupBy("token").agg(F.sum("n").alias("n"))
-
-
 def _blocks(schema_block: int):
     """Cut a shard's sorted documents into blocks."""
 
@@ -187,7 +215,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: bytes, end: int, pattern:
     """Encode documents (doc_id, text) and write the two tables under `path`."""
     spark = docs.sparkSession
     packed = durable(packed_ids(docs, tokenizer, end, pattern))
-    counts = token_frequencies(packed).toPandas()  # a row per id of the vocabulary at most
+    counts = packed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     n = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 0, np.int64)
     n[counts["token"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     freq = rans.scaled(n)
@@ -202,7 +230,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: bytes, end: int, pattern:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return cut(batches, rans.Table(shared.value))
 
-    in_order = packed.select("doc_id", "packed").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    in_order = packed.where("token is null").select("doc_id", "packed").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     in_order.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
