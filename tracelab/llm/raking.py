@@ -62,7 +62,7 @@ def cell_totals(rows: DataFrame) -> DataFrame:
 def tempered(cells: DataFrame, dimension: str, power: float = 0.5) -> DataFrame:
     """(value, share): target shares proportional to the tokens of each value to a power under 1."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), power).alias("raw"))
-    return sums.select("value", (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("share"))
+    return sums.select("value", F.coalesce(F.try_divide("raw", F.sum("raw").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -80,14 +80,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for _ in range(rounds):
         for name in targets:
             now = F.sum("weight").over(Window.partitionBy(name))
-            rows = rows.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{name}") / now).otherwise(0.0))
+            rows = rows.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"goal_{name}"), now), F.lit(0.0)))
         rows = durable(rows)
     return rows.select(*cells.columns, "weight")
 
 
 def probabilities(raked: DataFrame, share: float, scalings: int = SCALINGS) -> DataFrame:
     """raked with `probability`; c is found by scaling the cells below 1 again until no further cell reaches 1."""
-    rows = raked.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
+    rows = raked.withColumn("factor", F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)))
     c = 1.0
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     for _ in range(scalings):
@@ -114,7 +114,8 @@ def chances(docs: DataFrame, share: float = 0.6, power: float = 0.5, targets: di
 
 def _met(rows: DataFrame, cells: DataFrame) -> DataFrame:
     n = cells.limit(CELLS_BROADCAST + 1).count()
-    return rows.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(DIMENSIONS))
+    # every row has its cell; an inner join would test the derived topic for null and so derive it twice
+    return rows.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(DIMENSIONS), "left")
 
 
 def sampled(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -133,7 +134,7 @@ def kept_rows(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int
     keyed = keyed.withColumn("_topic", topic_of(text_of()))
     cells = cells.withColumnsRenamed(names).withColumnRenamed("probability", "_probability")
     n = cells.limit(CELLS_BROADCAST + 1).count()
-    both = keyed.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(names.values()))
+    both = keyed.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(names.values()), "left")
     return both.where(draw(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
 
 
