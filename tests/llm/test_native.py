@@ -1,6 +1,7 @@
 """Operators 4, 7 and 10: raking, credential linking, multiset hash."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -54,6 +55,37 @@ def test_base_spans_and_links(spark):
     assert credentials.scan(documents(spark, [])).count() == 0
 
 
+def test_long_secrets_link_from_end_to_begin(spark):
+    long, account, url = "aB3" * 100, "client_id = bob77", "https://db.example.org/x"
+    texts = {
+        1: f"{long} {url}", 2: f"{url} {long}", 3: f"{long} {account}", 4: f"secret={long} {url}", 5: f"{'0a' * 150} {account}",
+        6: f"{long}{' ' * 256}{url}", 7: f"{long}{' ' * 257}{url}", 8: f"{url}{' ' * 257}{long}", 9: f"{url} {'.' * 200} {'aB3' * 900} {'.' * 200} {account}",
+    }
+    docs = documents(spark, [(i, t, "en", "s", len(t)) for i, t in texts.items()])
+    kinds = {r["doc_id"]: sorted(s.split(":")[0] for s in r["spans"].split(",") if s) for r in credentials.scan(docs).collect()}
+    both = ["endpoint", "mixed"]
+    assert kinds == {
+        1: both, 2: both, 3: ["account", "mixed"], 4: ["assign", "endpoint"], 5: ["account", "hex"], 6: both, 7: [], 8: [],
+        9: ["account", "endpoint", "mixed"],
+    }
+    assert {r["doc_id"]: r["text"] for r in credentials.masked(docs, "#").collect()}[1] == "# #"
+
+
+def test_links_equal_brute_force(spark):
+    data = []
+    for k in range(60):  # positions of parts that overlap, nest, touch and stand apart
+        rng = random.Random(k)
+        for _ in range(12):
+            kind, begin = rng.choice(credentials.KINDS), rng.randrange(3000)
+            data.append((k, k, k, kind, credentials.ROLE[kind], begin, begin + rng.choice([5, 40, 300, 900]), kind in credentials.BASE))
+    found = spark.createDataFrame(data, "row long, doc_id long, content long, kind string, role string, begin long, end long, base boolean")
+    pairs = {("id", "secret"), ("secret", "id"), ("secret", "endpoint"), ("endpoint", "secret")}
+    bare = [p for p in data if p[7] or not any(q[7] and q[0] == p[0] and (q[5] <= p[5] < q[6] or (q[5] >= p[5] and q[5] < p[6])) for q in data)]
+    want = {p for p in bare if not p[7] and any(q[0] == p[0] and (p[4], q[4]) in pairs and max(p[5], q[5]) - min(p[6], q[6]) <= credentials.SCOPE for q in bare)}
+    got = credentials.linked(found).collect()
+    assert {(r["row"], r["kind"], r["begin"], r["end"]) for r in got} == {(p[0], p[3], p[5], p[6]) for p in want} and want
+
+
 def test_masked_texts(spark):
     data = credential_rows()
     docs = documents(spark, data)

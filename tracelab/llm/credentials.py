@@ -1,13 +1,13 @@
 """Secret scan with multipart credential linking, in DataFrame functions alone.
 
 Base kinds are reported wherever they stand. Weak kinds (an account name, a mixed token, a short assigned value, an
-endpoint) mean little alone; one is reported only if a part that completes it starts within SCOPE code points of it:
-an identifier with a secret, a secret with an identifier or an endpoint, an endpoint with a secret. Weak parts that
-overlap a base span are left out.
+endpoint) mean little alone; one is reported only if at most SCOPE code points stand between it and a part that
+completes it, however long the parts are: an identifier with a secret, a secret with an identifier or an endpoint, an
+endpoint with a secret. Weak parts that overlap a base span are left out.
 
-Texts stay where they are scanned; only positions are shuffled. The interval join is an equi-join on buckets of SCOPE
-code points: each bucket's first and last start per role reaches the buckets next to it, so a part meets three rows at
-most, however many parts a document has.
+Texts stay where they are scanned; only positions are shuffled. The interval join is a sweep over each text: every weak
+part asks, at its end and SCOPE further, for the farthest end of the completing parts that began before. A part takes
+part twice at most, however many parts a document has.
 
 Null text counts as empty. Repeated rows are scanned one by one. A document without spans has a row with zeros.
 """
@@ -87,7 +87,7 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak parts (row, kind, begin, end) that a complementary part within `scope` completes."""
+    """The weak parts (row, kind, begin, end) that a complementary part, `scope` code points away at most, completes."""
     spans = found.where("kind is not null")
     earlier = Window.partitionBy("row").orderBy("begin").rangeBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("row").orderBy("begin").rangeBetween(0, Window.unboundedFollowing)
@@ -96,27 +96,23 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.coalesce(F.min(own_begin).over(later), F.col("end")) < F.col("end")
     )
     spans = spans.withColumn("covered", covered & ~F.col("base")).where("not covered")
-    spans = spans.withColumn("bucket", F.floor(F.col("begin") / scope))
-    roles = ("id", "secret", "endpoint")
-    ends = spans.groupBy("row", "bucket").agg(
-        *[f(F.when(F.col("role") == r, F.col("begin"))).alias(f"{r}_{n}") for r in roles for n, f in (("first", F.min), ("last", F.max))]
+    # a part is near if it begins by end + scope and ends no earlier than begin - scope
+    steps = F.array(
+        F.struct(F.col("begin").alias("at"), F.lit(False).alias("asks")),
+        F.struct((F.col("end") + scope).alias("at"), F.lit(True).alias("asks")),
     )
-    near = ends.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    near = near.withColumn("bucket", F.col("bucket") + F.col("step")).groupBy("row", "bucket").agg(
-        *[F.max(F.when(F.col("step") == 1, F.col(f"{r}_last"))).alias(f"{r}_before") for r in roles],
-        *[F.max(F.when(F.col("step") == 0, F.col(f"{r}_first"))).alias(f"{r}_here") for r in roles],
-        *[F.min(F.when(F.col("step") == -1, F.col(f"{r}_first"))).alias(f"{r}_after") for r in roles],
-    )
+    steps = spans.withColumn("step", F.explode(F.when(F.col("base"), F.slice(steps, 1, 1)).otherwise(steps)))
+    steps = steps.select("*", "step.at", "step.asks")
+    so_far = Window.partitionBy("row").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+
+    def farthest(role: str) -> Column:
+        return F.max(F.when(~F.col("asks") & (F.col("role") == role), F.col("end"))).over(so_far).alias(f"{role}_end")
 
     def close(role: str) -> Column:
-        return (
-            F.col(f"{role}_here").isNotNull()
-            | F.coalesce(F.col("begin") - F.col(f"{role}_before") <= scope, F.lit(False))
-            | F.coalesce(F.col(f"{role}_after") - F.col("begin") <= scope, F.lit(False))
-        )
+        return F.coalesce(F.col(f"{role}_end") >= F.col("begin") - scope, F.lit(False))
 
     completed = F.when(F.col("role") == "secret", close("id") | close("endpoint")).otherwise(close("secret"))
-    weak = spans.where("not base").join(near, ["row", "bucket"])
+    weak = steps.select("*", *[farthest(r) for r in ("id", "secret", "endpoint")]).where("asks")
     return weak.where(completed).select("row", "doc_id", "content", "kind", "begin", "end")
 
 
