@@ -161,6 +161,28 @@ def test_mixture_equals_sql_and_meets_its_targets(spark, tmp_path):
             assert share[r["value"]] == pytest.approx(r["share"], abs=0.02)
 
 
+def test_achieved_shares_of_the_kept_sample(spark):
+    rng = random.Random(4)
+    data = []
+    for i in range(6000):
+        text = "a b c d e f g h " + ("license i" if rng.random() < 0.1 else "j k")
+        data.append((i, text, rng.choice(["en", "en", "en", "de"]), rng.choices("abc", [6, 3, 1])[0], 0))
+    docs = documents(spark, data, extra=False).localCheckpoint()
+    for share in (0.15, 0.8):  # with the rounds of the queries
+        kept = raking.sampled(docs, share).where("kept").collect()
+        all_kept = sum(r["tokens"] for r in kept)
+        report = {(r["dimension"], r["value"]): r for r in raking.achieved(docs, share).collect()}
+        assert len(report) == 3 + 2 + 2
+        for (d, v), r in report.items():
+            assert r["achieved"] == pytest.approx(sum(k["tokens"] for k in kept if k[d] == v) / all_kept)
+            assert r["reachable"] == (r["target"] * share <= r["available"])
+            if share == 0.15:  # no cell is kept whole
+                assert r["reachable"] and r["achieved"] == pytest.approx(r["target"], abs=0.04)
+    scarce = report["topic", "legal"]
+    assert not scarce["reachable"] and scarce["available"] < scarce["achieved"] < 0.7 * scarce["target"]
+    assert raking.achieved(documents(spark, [], extra=False)).count() == 0
+
+
 def test_mixture_of_few_rows(spark):
     assert raking.sampled(documents(spark, [])).count() == 0
     assert by_id(raking.sampled(documents(spark, [(1, None, None, None, None)])), "doc_id", "tokens", "lang") == [(1, 0, "(none)")]

@@ -5,6 +5,9 @@ every value of one dimension after another. A cell's documents are then kept wit
 min(1, c * weight / tokens), where c is set so that the expected tokens are `share` of all; a document's draw is a
 hash of its doc_id, so a repeated run keeps the same ones.
 
+The weights follow the targets, the kept tokens only as far as no cell reaches probability 1: what is cut off there goes
+to all other cells by the common c and is not raked again. `achieved` returns the kept shares beside their targets.
+
 Tokens are runs of characters other than white space. Null text counts as empty; null source, language or topic is a
 value of its own ("(none)"). Repeated rows are drawn alike. A cell without tokens keeps the factor c. The sums are made
 per task before they are shuffled, so a source with a third of all rows is no heavier than another; the cells meet the
@@ -138,6 +141,28 @@ def kept_rows(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int
     return both.where(draw(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
 
 
+def achieved(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(dimension, value, target, available, achieved, reachable): shares of the tokens wanted, in docs, and kept.
+
+    `reachable` tells if docs has the tokens of that value that its target asks for at `share` of all tokens.
+    """
+    rows = sampled(docs, share, power, seed, targets)
+    cells = durable(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("kept")))
+    targets = targets or {d: tempered(cells, d, power) for d in DIMENSIONS}
+    total = cells.agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept")).first()
+    part = lambda c: F.coalesce(F.try_divide(F.col(c), F.lit(float(total[c] or 0))), F.lit(0.0))
+    out = None
+    for d, target in targets.items():
+        sums = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"))
+        both = sums.join(target.select("value", F.col("share").alias("target")), "value", "full").fillna(0, ["tokens", "kept", "target"])
+        both = both.select(
+            F.lit(d).alias("dimension"), "value", "target", part("tokens").alias("available"), part("kept").alias("achieved"),
+            (F.col("target") * share <= part("tokens") + 1e-9).alias("reachable"),
+        )
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def mixture_sql(share: float = 0.6, power: float = 0.5, seed: int = 0, docs: str = "documents") -> str:
     """The same in DuckDB SQL: a step of common table expressions for each scaling."""
 
