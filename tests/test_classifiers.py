@@ -9,6 +9,7 @@ from tracelab.operators import classifiers as cl
 from tracelab.operators import evaluation as ev
 from tracelab.operators import scale as sc
 from tracelab.plans import experiment as ex
+from tracelab.plans import queries
 from tracelab.sources import results as rs
 
 FOREST = {"n_estimators": 4, "max_depth": 4, "max_features": "sqrt", "criterion": "gini", "min_samples_split": 2}
@@ -123,3 +124,23 @@ def test_open_world_runner(spark, data):
     record = ex.model_records(run, world).first()
     tested = run.scores.agg(F.avg(F.col("label").cast("double"))).first()[0]
     assert record.base_rate == pytest.approx(tested) and record.train_class_balance != record.base_rate
+
+
+@pytest.mark.parametrize("name", ["model_boosting", "model_bagging", "model_extra_trees", "model_gradient_boosting", "model_ada_boost"])
+def test_registered_ensembles_run_a_point_of_the_shipped_grid(monkeypatch, name):
+    asked = []
+
+    class Seen(Exception):
+        pass
+
+    def run(rows, experiments, options):
+        asked.extend(experiments)
+        assert options.num_kfolds == 10
+        raise Seen
+
+    monkeypatch.setattr(queries, "world_rows", lambda spark, folder: None)
+    monkeypatch.setattr(queries.ex, "train_eval_all_folds", run)
+    with pytest.raises(Seen):
+        queries.QUERIES[name](None, "")
+    shipped = {e.model_id for e in ex.generate_experiments(list(ex.PARAMETERS))}
+    assert [e.model_id for e in asked if e.model_id in shipped] and len(asked) == 1

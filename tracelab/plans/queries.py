@@ -497,10 +497,10 @@ _model(
 _model(
     "model_boosting",
     "RandomForestBoosting",
-    **{**_FOREST, "n_estimators": 10, "max_depth": 5, "max_features": 2},
+    **{**_FOREST, "n_estimators": 100, "max_depth": 20, "max_features": 2},
     algorithm="SAMME",
     learning_rate=0.01,
-    n_estimators_boost=5,
+    n_estimators_boost=10,
 )
 
 
