@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk, toxicity
+from tracelab.llm import byte_bpe, collocations, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk, toxicity
 from tracelab.llm.common import scratch_path
 
 
@@ -77,6 +77,11 @@ def multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return multiset_hash.fingerprints(_table(spark, folder, "documents"))
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files,
     "op2_shingle_join": shingle_classes,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": nearest_vectors,
     "op9_toxicity_chain": toxic_documents,
     "op10_multiset_hash": multiset_fingerprints,
+    "op11_collocations": phrase_collocations,
 }
 
 TOP_SQL = """
@@ -102,4 +108,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 ORACLE: dict[str, str] = {
     "op8_topk_search": TOP_SQL,
     "op4_mixed_sources": raking.mixture_sql(),
+    "op11_collocations": collocations.collocation_sql(),
 }
