@@ -54,22 +54,26 @@ def _texts(batches: Batches) -> Iterator[list[tuple[str, bytes]]]:
 # --- length 1: words -----------------------------------------------------------------------------
 
 
-def _word_counts(batches: Batches) -> Iterator[pa.RecordBatch]:
+def _word_counts(most: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """(lang, word, n), summed over what a task can hold, and (lang, null, n) for all words."""
-    counts: dict[str, Counter] = {}
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, own in counts.items():
-            n = len(own)
-            yield records(_WORDS, lang=[lang] * (n + 1), word=[*map(bytes.decode, own), None], n=[*own.values(), own.total()])
-        counts.clear()
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
 
-    for part in _texts(batches):
-        for lang, text in part:
-            counts.setdefault(lang, Counter()).update(text.translate(_TABLE).split())
-        if sum(map(len, counts.values())) > HELD_WORDS:
-            yield from flush()
-    yield from flush()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                n = len(own)
+                yield records(_WORDS, lang=[lang] * (n + 1), word=[*map(bytes.decode, own), None], n=[*own.values(), own.total()])
+            counts.clear()
+
+        for part in _texts(batches):
+            for lang, text in part:
+                counts.setdefault(lang, Counter()).update(text.translate(_TABLE).split())
+            if sum(map(len, counts.values())) > most:
+                yield from flush()
+        yield from flush()
+
+    return run
 
 
 def _numbered_words(known: dict[str, dict[bytes, int]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -133,27 +137,32 @@ def _joined(batches: Batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             yield at[i], ids[i], ids[i + 1]
 
 
-def _pair_counts(batches: Batches) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _pair_counts(most: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """(a, b, n), summed over what a task can hold."""
 
-    def flush() -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        held.clear()
-        return records(_PAIRS, a=a[first], b=b[first], n=np.diff(np.append(first, len(a))))
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    for _, a, b in _joined(batches):
-        if len(a):
-            held.append((a, b))
-            size += len(a)
-        if size >= HELD_PAIRS:
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            held.clear()
+            return records(_PAIRS, a=a[first], b=b[first], n=np.diff(np.append(first, len(a))))
+
+        for _, a, b in _joined(batches):
+            if len(a):
+                held.append((a, b))
+                size += len(a)
+            if size >= most:
+                yield flush()
+                size = 0
+        if held:
             yield flush()
-            size = 0
-    if held:
-        yield flush()
+
+    return run
 
 
 def _numbered_pairs(a: np.ndarray, b: np.ndarray, numbers: np.ndarray) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -216,7 +225,7 @@ def phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_CO
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"))
-    counts = texts.mapInArrow(_word_counts, _kinds(_WORDS))
+    counts = texts.mapInArrow(_word_counts(HELD_WORDS), _kinds(_WORDS))
     words = _frequent(counts, ["lang", "word"], least, F.col("word").isNull())
     totals = words.where("word is null").select("lang", F.col("n").alias("total"))
     found = words.where("word is not null")
@@ -235,7 +244,7 @@ def phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_CO
 
     for _ in range(2, most_words + 1):
         relation = durable(relation)
-        pairs = _frequent(relation.mapInArrow(_pair_counts, _kinds(_PAIRS)), ["a", "b"], least, F.lit(False))
+        pairs = _frequent(relation.mapInArrow(_pair_counts(HELD_PAIRS), _kinds(_PAIRS)), ["a", "b"], least, F.lit(False))
         shorter = levels[-1]
         left = shorter.select(F.col("id").alias("a"), "lang", "phrase", "heads")
         right = shorter.select(F.col("id").alias("b"), "last", "tails")

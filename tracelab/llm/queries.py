@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import byte_bpe, collocations, credentials, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk, toxicity
+from tracelab.llm import byte_bpe, collocations, credentials, lexical, multiset_hash, raking, shingle_join, suffix_dedup, token_counts, token_store, topk, toxicity, warc
 from tracelab.llm.common import scratch_path
 
 
@@ -82,6 +82,16 @@ def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark)
+    warc.write(_table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def lexical_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files,
     "op2_shingle_join": shingle_classes,
@@ -94,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_chain": toxic_documents,
     "op10_multiset_hash": multiset_fingerprints,
     "op11_collocations": phrase_collocations,
+    "op12_warc_shards": archived_pages,
+    "op13_lexical_ranks": lexical_ranks,
 }
 
 TOP_SQL = """
@@ -109,4 +121,6 @@ ORACLE: dict[str, str] = {
     "op8_topk_search": TOP_SQL,
     "op4_mixed_sources": raking.mixture_sql(),
     "op11_collocations": collocations.collocation_sql(),
+    "op12_warc_shards": warc.archive_sql(),
+    "op13_lexical_ranks": lexical.ranked_sql(),
 }
