@@ -269,12 +269,13 @@ def write(
     sized = narrow.join(F.broadcast(sizes) if few else sizes.hint("merge"), "row", "left")
     sized = sized.select("row", "page_id", "url", "digest", F.col("short_size").isNotNull().alias("again"), F.coalesce("short_size", "size").alias("size"))
     order = ["page_id", "url", "digest", "again", "row"]
-    placed = durable(_starts(sized, slice_rows, order).select("row", F.floor(F.col("start") / file_bytes).alias("file"), "start"))
+    placed = durable(_starts(sized, slice_rows, order).select("row", F.floor(F.col("start") / file_bytes).alias("file"), "start", "again"))
 
+    # the list says which pages become revisits, so the members meet it in one join
     few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    short = short.select("row", "short").join(F.broadcast(placed) if few else placed.hint("merge"), "row")
-    long = made.select("row", "member").join(F.broadcast(placed) if few else placed.hint("merge"), "row")
-    full = long.join(short.select("row"), "row", "left_anti").unionByName(short.select("row", F.col("short").alias("member"), "file", "start"))
+    put = lambda rows, again: rows.join(F.broadcast(again) if few else again.hint("merge"), "row")
+    long = put(made.select("row", "member"), placed.where(~F.col("again")))
+    full = long.unionByName(put(short.select("row", F.col("short").alias("member")), placed.where("again")))
     n_files = max(1, (placed.agg(F.max("file")).first()[0] or 0) + 1)
     by_file = full.select("file", "start", "member").repartition(n_files, "file").sortWithinPartitions("file", "start")
     written = durable(by_file.mapInArrow(_files(folder), FILES))
