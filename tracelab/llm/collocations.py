@@ -6,8 +6,8 @@ merge join of R(k) with itself by adjacent position: phrase p at i and phrase q
 words. The pairs (p, q) are grouped and counted, and R(k + 1) keeps, by a semi-join, the occurrences of frequent pairs
 alone before the next length. Nothing is lost: the parts of a frequent phrase are as frequent as it is.
 
-The relations are stored in sorted order, packed by blocks of whole documents, so both sides of a join stand in one row
-and only counts are shuffled. The semi-join looks ids up in the frequent groups if these are few (counted); otherwise
+The relations are stored in sorted order, packed by blocks of whole documents and with the gaps between positions in
+place of these, so both sides of a join stand in one row and only counts are shuffled. The semi-join looks ids up in the frequent groups if these are few (counted); otherwise
 occurrences and groups are joined by a shuffle and packed again by block.
 
 Everything is per language; a null language counts as `und`. Null and empty texts have no words. Repeated rows count as
@@ -39,13 +39,17 @@ _TABLE = bytes(10 if c in STOPS else 32 if c == 9 else c for c in bytes(range(25
 _GAP, _NONE = -1, -2  # a place that no frequent word holds; not a place at all
 _WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-_RELATION = pa.schema([("at", pa.list_(pa.int32())), ("id", pa.list_(pa.int64()))])
+_RELATION = pa.schema([("gap", pa.list_(pa.int32())), ("id", pa.list_(pa.int64()))])  # gap: to the place before
 _OPEN_WORDS = pa.schema([("at", pa.list_(pa.int32())), ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.string()))])
 _OPEN_PAIRS = pa.schema([("at", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 Batches = Iterable[pa.RecordBatch]
 
 
+def _block(at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return records(_RELATION, gap=[np.diff(at, prepend=-1).astype(np.int32)], id=[ids])
+
+
 def _texts(batches: Batches) -> Iterator[list[tuple[str, bytes]]]:
     for part in slices(batches, "text"):
         yield list(zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()))
@@ -87,7 +91,7 @@ def _numbered_words(known: dict[str, dict[bytes, int]]) -> Callable[[Batches], I
             ids = np.concatenate(held)
             at = np.flatnonzero(ids >= 0)
             held.clear()
-            return records(_RELATION, at=[at.astype(np.int32)], id=[ids[at]])
+            return _block(at, ids[at])
 
         for part in _texts(batches):
             for lang, text in part:
@@ -131,10 +135,10 @@ def _joined(batches: Batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     """The merge join of each block's sorted relation with itself by adjacent position: (at, a, b)."""
     for batch in batches:
         for row in range(batch.num_rows):
-            at = batch.column("at")[row].values.to_numpy(zero_copy_only=False)
+            gap = batch.column("gap")[row].values.to_numpy(zero_copy_only=False)
             ids = batch.column("id")[row].values.to_numpy(zero_copy_only=False)
-            i = np.flatnonzero(at[1:] == at[:-1] + 1)
-            yield at[i], ids[i], ids[i + 1]
+            i = np.flatnonzero(gap[1:] == 1)
+            yield np.cumsum(gap)[i] - 1, ids[i], ids[i + 1]
 
 
 def _pair_counts(most: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -185,7 +189,7 @@ def _numbered_pairs(a: np.ndarray, b: np.ndarray, numbers: np.ndarray) -> Callab
             at, wanted = at[is_right], i[is_right] * len(rights) + j[is_right]
             k, hit = place(keys, wanted)
             if hit.any():
-                yield records(_RELATION, at=[at[hit]], id=[numbers[k[hit]]])
+                yield _block(at[hit], numbers[k[hit]])
 
     return run
 
@@ -202,7 +206,8 @@ def _packed(opened: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFram
     rows = rows.select("block", "o.*").join(frequent.select(*keys, "id").hint("merge"), keys)
     # as long as a block, or a document
     places = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("o"))
-    return places.select(F.col("o.at").alias("at"), F.col("o.id").alias("id"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("o.at", 1, F.size("o") - 1))
+    return places.select(F.zip_with("o.at", before, lambda x, y: x - y).alias("gap"), F.col("o.id").alias("id"))
 
 
 def _kinds(schema: pa.Schema) -> str:
@@ -214,7 +219,9 @@ def _kinds(schema: pa.Schema) -> str:
 def _frequent(counts: DataFrame, keys: list[str], least: int, always: Column) -> DataFrame:
     """Groups of at least so many occurrences, each with an id."""
     summed = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return durable(summed.where((F.col("n") >= least) | always).withColumn("id", F.monotonically_increasing_id()))
+    # the most frequent ones get the lowest ids: these repeat in the relations and compress well there
+    kept = summed.where((F.col("n") >= least) | always).orderBy(F.desc("n"))
+    return durable(kept.withColumn("id", F.monotonically_increasing_id()))
 
 
 def phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST_COUNT, lookup_rows: int = LOOKUP_ROWS) -> tuple[list[DataFrame], DataFrame]:
