@@ -2,12 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from tracelab.operators import classifiers as cl
 from tracelab.operators import evaluation as ev
 from tracelab.operators import scale as sc
+from tracelab.operators import trees as tr
 from tracelab.plans import experiment as ex
 from tracelab.plans import queries
 from tracelab.sources import results as rs
@@ -74,7 +74,9 @@ def test_grid_sizes():
     assert sizes["RandomForest"] == 504 and sizes["GradientBoostingClassifier"] == 225 and sizes["KNeighborsClassifier"] == 28
     assert sizes["AdaBoost"] == 30 and sizes["DecisionTreeClassifier"] == 48 and sizes["GaussianNB"] == 1
     assert len(ex.distinct_fits(ex.generate_experiments(["KNeighborsClassifier"]))) == 14
-    assert len(ex.distinct_fits(ex.generate_experiments(["RandomForest"]))) == 3 * 3 * 6 * 2 * 3
+    # every depth and split size is a fit of its own; "auto" means "sqrt"
+    assert len(ex.distinct_fits(ex.generate_experiments(["RandomForest"]))) == 3 * 4 * 6 * 2 * 3
+    assert len(ex.distinct_fits(ex.generate_experiments(["DecisionTreeClassifier"]))) == 48
 
 
 def test_fold_stats_against_numpy(spark):
@@ -96,7 +98,7 @@ def test_fold_stats_against_numpy(spark):
 
 
 def test_runner(spark, data, tmp_path):
-    experiments = [ex.Experiment("GaussianNB", {}), ex.Experiment("RandomForest", FOREST), ex.Experiment("RandomForest", {**FOREST, "min_samples_split": 1})]
+    experiments = [ex.Experiment("GaussianNB", {}), ex.Experiment("RandomForest", FOREST), ex.Experiment("RandomForest", {**FOREST, "max_features": "auto"})]
     run = ex.train_eval_all_folds(data, experiments, ex.Options(num_kfolds=3))
     assert run.scores.count() == 2 * 240  # equal settings are fitted once
     assert run.scores.groupBy("model_id", "exampleid").count().where("count > 1").count() == 0
@@ -109,7 +111,9 @@ def test_runner(spark, data, tmp_path):
     assert {r.feature for r in top.collect()} == {"f0", "f1", "f2"}
     rs.save_model_records(ex.model_records(run, data), str(tmp_path / "m"))
     saved = f"{run.folder}/models/run=1/fold=2/part=0"
-    assert RandomForestClassificationModel.load(saved).getNumTrees == 4
+    forest = tr.Forest.load(spark, saved)
+    tested = run.scores.where(F.col("fold") == 2)
+    assert len(forest.trees) == 4 and forest.dims == 6 and tested.count() == 2 * 80
     curves = ex.fold_curves(run)
     rs.save_fold_curves(curves, str(tmp_path / "c"))
     stored = spark.read.parquet(str(tmp_path / "c"))

@@ -6,7 +6,6 @@ the positive class. Parameters carry the names of the experiment grid.
 
 from __future__ import annotations
 
-import json
 import math
 import warnings
 from collections.abc import Callable, Iterator
@@ -23,15 +22,15 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.operators import trees
 from tracelab.operators.neighbours import nearest, vote_share
 from tracelab.operators.scale import literal_array
 from tracelab.session import durable
 
-MAX_DEPTH = 30  # the deepest tree the library grows
+MAX_DEPTH = 30  # the deepest tree that Spark's own learners grow; trees of this package have no limit
 
 # Fixed values of the stochastic-gradient classifier.
 SGD_ALPHA = 0.0001
@@ -44,7 +43,7 @@ class Fitted:
 
     scorer: Callable[[DataFrame], DataFrame]
     importances: list[float] | None = None
-    models: list[Model] = field(default_factory=list)
+    models: list[Model | trees.Forest] = field(default_factory=list)
 
     def score(self, rows: DataFrame) -> DataFrame:
         return self.scorer(rows)
@@ -104,13 +103,33 @@ def _plain(estimator, train: DataFrame) -> Fitted:
     return Fitted(lambda rows: _scores(model.transform(_vectors(rows)), _positive()), importances, [model])
 
 
+def _grown(p: dict, train: DataFrame, n_trees: int, seed: int, bootstrap: bool = False, random: bool = False) -> Fitted:
+    dims = train.select(F.size("features")).first()[0]
+    spec = trees.Spec(
+        trees=n_trees,
+        features=trees.feature_count(p["max_features"], dims),
+        max_depth=int(p["max_depth"]),
+        min_split=int(p["min_samples_split"]),
+        criterion=p["criterion"],
+        random=random,
+        bootstrap=bootstrap,
+        seed=seed,
+    )
+    forest = trees.grow(train, spec)
+    return Fitted(forest.score, forest.importances(), [forest])
+
+
 def random_forest(p: dict, train: DataFrame, seed: int) -> Fitted:
-    return _plain(_forest(p, p["n_estimators"], seed), train)
+    return _grown(p, train, p["n_estimators"], seed, bootstrap=True)
 
 
 def decision_tree(p: dict, train: DataFrame, seed: int) -> Fitted:
-    # A forest of one, because the single-tree class cannot draw feature subsets.
-    return _plain(_forest(p, 1, seed, bootstrap=False), train)
+    return _grown(p, train, 1, seed)
+
+
+def extra_trees(p: dict, train: DataFrame, seed: int) -> Fitted:
+    """Trees whose thresholds are drawn anew at every node, between the node's own ends."""
+    return _grown(p, train, p["n_estimators"], seed, random=True)
 
 
 def gradient_boosting(p: dict, train: DataFrame, seed: int) -> Fitted:
@@ -208,33 +227,6 @@ def bagging(p: dict, train: DataFrame, seed: int) -> Fitted:
     return Fitted(lambda rows: _averaged(parts, rows), None, [m for m, _ in parts])
 
 
-def _binned(cuts: np.ndarray) -> Callable[[Column], Column]:
-    """Features replaced by the number of cut points below them."""
-    points = F.from_json(F.lit(json.dumps(cuts.T.tolist())), "array<array<double>>")
-
-    def view(features: Column) -> Column:
-        return F.zip_with(features, points, lambda x, c: F.size(F.filter(c, lambda v: v < x)).cast("double"))
-
-    return view
-
-
-def extra_trees(p: dict, train: DataFrame, seed: int, cuts_per_feature: int = 7) -> Fitted:
-    """Trees that may split only at cut points drawn at random per tree and feature."""
-    rng = np.random.default_rng(seed)
-    ends = train.agg(Summarizer.metrics("min", "max").summary(array_to_vector("features")).alias("s")).first()["s"]
-    lo, hi = ends["min"].toArray(), ends["max"].toArray()
-    parts = []
-    for t in range(p["n_estimators"]):
-        cuts = np.sort(rng.uniform(lo, hi, size=(cuts_per_feature, len(lo))), axis=0)
-
-        view = _binned(cuts)
-        part = train.select("label", view(F.col("features")).alias("features"))
-        parts.append((_forest(p, 1, seed + t, bootstrap=False).fit(_vectors(part)), view))
-    width = len(lo)
-    gains = np.mean([_padded(m.featureImportances.toArray(), width) for m, _ in parts], axis=0)
-    return Fitted(lambda rows: _averaged(parts, rows), [float(x) for x in gains], [m for m, _ in parts])
-
-
 def _padded(values: np.ndarray, width: int) -> np.ndarray:
     return np.pad(values, (0, width - len(values)))
 

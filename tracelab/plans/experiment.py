@@ -81,6 +81,7 @@ PARAMETERS: dict[str, dict[str, list]] = {
     },
     "GaussianNB": {},
 }
+OWN_TREES = ("RandomForest", "DecisionTreeClassifier", "ExtraTrees")  # grown by this package, with every setting as asked
 ENABLED = ["RandomForest", "ExtraTrees", "DecisionTreeClassifier", "RandomForestBagging", "RandomForestBoosting"]
 
 
@@ -109,10 +110,11 @@ class Experiment:
     def effective(self) -> str:
         """What is really fitted: runs that agree in it give the same model."""
         p = dict(self.parameters)
-        if "max_depth" in p:
-            p["max_depth"] = classifiers.tree_depth(p["max_depth"])
-        if "min_samples_split" in p:
-            p["min_samples_split"] = classifiers.leaf_size(p["min_samples_split"])
+        if self.model_type not in OWN_TREES:  # limits of Spark's learners
+            if "max_depth" in p:
+                p["max_depth"] = classifiers.tree_depth(p["max_depth"])
+            if "min_samples_split" in p:
+                p["min_samples_split"] = classifiers.leaf_size(p["min_samples_split"])
         if "max_features" in p:
             p["max_features"] = classifiers.subset(p["max_features"])
         if self.model_type == "KNeighborsClassifier":
@@ -251,10 +253,13 @@ def fold_curves(run: Run) -> DataFrame:
     return evaluation.roc_points(run.scores, ["model_id", "fold"], drop_intermediate=True)
 
 
-def importances(run: Run, names: list[str], fold: int = 0) -> DataFrame:
-    """(model_id, feature, importance) of the models that have importances."""
+def importances(run: Run, names: list[str], fold: int | None = None) -> DataFrame:
+    """(model_id, feature, importance) of the models that have importances: of one fold, or the mean of all."""
     spark = run.scores.sparkSession
     schema = "model_id string, i int, importance double, run int, fold int"
-    stored = spark.read.schema(schema).parquet(f"{run.folder}/importances").where(F.col("fold") == fold)
+    stored = spark.read.schema(schema).parquet(f"{run.folder}/importances")
+    if fold is not None:
+        stored = stored.where(F.col("fold") == fold)
+    mean = stored.groupBy("model_id", "i").agg(F.avg("importance").alias("importance"))
     named = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
-    return stored.join(F.broadcast(named), "i").select("model_id", "feature", "importance")
+    return mean.join(F.broadcast(named), "i").select("model_id", "feature", "importance")

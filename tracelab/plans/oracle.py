@@ -11,6 +11,7 @@ from tracelab.operators.features import (
     NUM_WINDOWS,
     WINDOW_SIZE,
 )
+from tracelab.plans.tree_oracle import tree_sql
 
 TRACES = """traces as (
   select event_id as cellid, user_id as exampleid, event_type in ('view', 'click') as ingoing,
@@ -404,6 +405,7 @@ ORACLE |= {
          post as (select exampleid, label, max(case when c = 1 then l + p end) as a, max(case when c = 0 then l + p end) as b
                   from joint join prior using (c) group by exampleid, label)
          select exampleid, label, round(1 / (1 + exp(b - a)), 4) as score from post""",
+    **tree_sql(_with(ROWS)),
     "top_importances": _with(ROWS)
     + """, vals as (select label, unnest(f) as x, unnest(range(len(f))) as i from points),
          means as (select 'feature_' || i as feature,

@@ -16,11 +16,12 @@ from tracelab.operators import neighbours as nb
 from tracelab.operators import sampling as sm
 from tracelab.operators import scale as sc
 from tracelab.operators import sites as st
-from tracelab.operators import status
+from tracelab.operators import status, trees
 from tracelab.operators import weights as wt
 from tracelab.operators import world as wd
 from tracelab.operators.ordered import OrderedGroups
 from tracelab.plans import experiment as ex
+from tracelab.plans.tree_oracle import EXTRA, SINGLE
 from tracelab.session import durable, shared_folder
 from tracelab.sources import adapters as src
 from tracelab.sources import feature_files as ff
@@ -551,6 +552,29 @@ def gaussian_nb_scores(spark, folder):
     return rounded(cl.fit("GaussianNB", {}, rows).score(rows), 4)
 
 
+@query
+def extra_tree_nodes(spark, folder):
+    """Extra trees of depth 3, grown by aggregates over all rows alone: nodes by their path from the root."""
+    rows = trees.grow(_instance_rows(spark, folder), EXTRA, local_values=1).nodes()
+    kinds = "tree int, path string, feature int, threshold double, negative long, positive long"
+    out = [(t, path, f, float(c), n, p) for t, _, path, f, c, _, _, n, p, _ in rows]
+    return rounded(spark.createDataFrame(out, kinds), 6)
+
+
+@query
+def extra_tree_scores(spark, folder):
+    """The same trees grown in the tasks of their roots, as scores of all rows."""
+    rows = _instance_rows(spark, folder)
+    return rounded(trees.grow(rows, EXTRA).score(rows), 6)
+
+
+@query
+def decision_tree_scores(spark, folder):
+    """A single tree over histograms of cut points that splits no node of fewer than 40 rows."""
+    rows = _instance_rows(spark, folder)
+    return rounded(trees.grow(rows, SINGLE, local_values=20_000).score(rows), 6)
+
+
 @query
 def top_importances(spark, folder):
     """Features ranked by the difference of their class means."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelab.functions.columns import moment
 from tracelab.operators.classifiers import Fitted
 from tracelab.operators.evaluation import metric_names
+from tracelab.operators.trees import Forest
 from tracelab.sources.tables import append_table
 
 
@@ -35,10 +36,13 @@ def save_fold_curves(curves: DataFrame, path: str) -> str:
 
 
 def save_fit(fitted: Fitted, path: str) -> list[str]:
-    """Every library model behind a fitted classifier; returns the folders written."""
+    """Every model behind a fitted classifier, forests as node tables; returns the folders written."""
     written = [f"{path}/part={i}" for i in range(len(fitted.models))]
     for model, target in zip(fitted.models, written):
-        model.write().overwrite().save(target)
+        if isinstance(model, Forest):
+            model.save(SparkSession.active(), target)
+        else:
+            model.write().overwrite().save(target)
     return written
 
 
