@@ -50,6 +50,37 @@ def test_nearest_is_exact(spark, blocked, metric, relations, missing):
     assert got == brute(rows, 4, weights, metric, relations, missing)
 
 
+def test_block_meetings_are_few(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(-200, 200, size=(25, 5))
+    rows = [(i, i % 3, [float(v) for v in centres[i % 25] + rng.normal(size=5)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    weights = [1.0] * 5
+    tree = nb.block_tree(df, df, 3, weights, "euclidean", ("any",), None, 100)  # 20 rows a block
+    n_blocks = tree.blocks.count()
+    sizes = tree.rows.groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert len(tree.pivots) == 9 and n_blocks >= 75 and sizes <= 60
+    assert tree.rows.count() == 1500
+
+    def search(asking, holding):
+        return nb._Block(holding, weights, "euclidean", None).search(asking, 3, ("any",))
+
+    first = tree.route(df)
+    assert first.count() == 1500 and first.where("size(blocks) <> 1").count() == 0
+    met = tree.route(df, nb.bounds(tree.meet(first, search), 3, ("any",)))
+    meetings = met.selectExpr("sum(size(blocks)) as n").first().n
+    assert meetings < 0.1 * n_blocks * 1500
+    near = nb.nearest(df, df, 3, weights, "euclidean", missing=None, broadcast_values=0, block_values=100)
+    found = {}
+    for r in near.collect():
+        found.setdefault(r.id, []).append((r["rank"], r.neighbour))
+    x = np.array([r[2] for r in rows])
+    for q in range(1500):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [n for _, n in sorted(found[q])] == list(np.argsort(d, kind="stable")[:3])
+
+
 def test_vote(spark):
     rows = [(0, 0, [0.0]), (1, 0, [0.1]), (2, 0, [0.2]), (3, 1, [5.0]), (4, 1, [5.1]), (5, 9, [5.05]), (6, 9, [90.0]), (7, 9, [91.0]), (8, 9, [92.0])]
     df = spark.createDataFrame(rows, SCHEMA)
