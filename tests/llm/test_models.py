@@ -121,3 +121,19 @@ def test_pipeline_on_odd_rows(spark):
         if name.startswith("n-gram"):
             assert sorted(map(str, (r["doc_id"] for r in docs.collect()))) == ["1", "2", "3", "None"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == docs.count()
+
+
+def test_pipeline_keeps_columns_with_its_own_names(spark):
+    names = ("_hash", "_cuts", "_doc", "_content", "_source", "_lang", "_topic", "_probability", "is_odd", "named")
+    data = [(1, "token = abcdefgh " + "word " * 9, "en", "s", 60), (1, "another text of the same id", "en", "s", 27), (None, "", None, None, 0), (4, "the last of these texts", "en", "t", 23)]
+    docs = documents(spark, data, extra=False)
+    for name in names:
+        docs = docs.selectExpr("*", f"'own {name}' AS {name}")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = corpus_pipeline.durable(stage(spark, docs, SF_DIR))
+        assert all(r[n] == f"own {n}" for r in docs.collect() for n in names)
+        assert name.startswith("mixing") or docs.count() == 4
+    empty = documents(spark, [], extra=False)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        empty = corpus_pipeline.durable(stage(spark, empty, SF_DIR))
+    assert empty.count() == 0

@@ -63,10 +63,44 @@ def test_classes_of_repeated_rows_and_of_none(spark):
     data = rows()
     twice = shingle_join.shingle_links(documents(spark, data + data[:5]))
     assert {r[:3] for r in by_id(twice, "doc_id", "n_shingles", "component_id")} == {r[:3] for r in brute_classes(data)}
-    assert shingle_join.shingle_links(documents(spark, [(None, "a b", "", "", 3)])).count() == 0
+    alone = shingle_join.shingle_links(documents(spark, [(None, "a b", "", "", 3)])).collect()
+    assert [tuple(r) for r in alone] == [(None, 1, None, 0)]
     assert shingle_join.shingle_links(documents(spark, [])).count() == 0
 
 
+def clashing():
+    """Texts under one id, and without any; each text is a row of its own."""
+    rng = random.Random(11)
+    long = prose(rng, 120)
+    near = long.rsplit(" ", 3)[0]
+    data = [(1, long, "en", "s", 0), (1, prose(rng, 130), "en", "s", 0), (2, near, "en", "s", 0), (None, near + " and more", "en", "s", 0)]
+    data += [(None, prose(rng, 140), "de", "s", 0), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (5, "", "en", "s", 0), (1, "", "en", "s", 0)]
+    return data + [(-7, data[1][1], "en", "s", 0), (9, prose(rng, 100), "en", "s", 0)]
+
+
+def test_clashing_and_null_ids_keep_their_documents(spark):
+    data = clashing()
+    keys = [(k, t) for k, (_, t, *_) in enumerate(data)]
+    brute = {k: (n, group) for k, n, group, _ in brute_classes(keys)}
+    want = []
+    for k, (i, *_) in enumerate(data):
+        n, group = brute[k]
+        ids = [data[m][0] for m in brute if brute[m][1] == group]
+        want.append((i, n, min((x for x in ids if x is not None), default=None)))
+    out = shingle_join.shingle_links(documents(spark, data)).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in out)
+    kept = shingle_join.one_of_each(documents(spark, data)).collect()
+    groups = {}
+    for k, (i, t, *_) in enumerate(data):
+        groups.setdefault(brute[k][1] if brute[k][0] else k, []).append((i is None, i, t or ""))
+    best = [min(g, key=lambda r: (r[0], r[1] or 0)) for g in groups.values()]
+    assert sorted(repr((i, t)) for _, i, t in best) == sorted(repr((r["doc_id"], r["text"] or "")) for r in kept)
+    cut = suffix_dedup.without_repeats(documents(spark, data), 60, 16).collect()
+    want = [(data[k][0], *rest) for k, *rest in brute_removal(keys, 60)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in cut]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 20)] + [(7, 7)]
     found = components.components(spark.createDataFrame(edges, "a long, b long"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelab.llm.common import text_of
+from tracelab.llm.common import free_name, text_of
 from tracelab.session import durable
 
 # The base patterns.
@@ -155,12 +155,13 @@ def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     run = Window.partitionBy("doc_id", "content").orderBy("begin", "end")
     runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(run))
     runs = runs.groupBy("doc_id", "content", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    cuts = runs.groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), "_cuts")
-    hashed = docs.withColumn("_hash", F.xxhash64("doc_id", text_of()))
-    both = hashed.join(cuts, (hashed["_hash"] == cuts["_content"]) & hashed["doc_id"].eqNullSafe(cuts["_doc"]), "left")
-    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"]).cast("int")
-    end = lambda i: F.coalesce(F.get("_cuts", i)["begin"].cast("int"), F.char_length("text"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i)))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))
+    doc, content, found, hashed = (free_name(docs, c) for c in ("_doc", "_content", "_cuts", "_hash"))
+    cuts = runs.groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(found))
+    cuts = cuts.select(F.col("doc_id").alias(doc), F.col("content").alias(content), found)
+    rows = docs.withColumn(hashed, F.xxhash64("doc_id", text_of()))
+    both = rows.join(cuts, (rows[hashed] == cuts[content]) & rows["doc_id"].eqNullSafe(cuts[doc]), "left")
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"]).cast("int")
+    end = lambda i: F.coalesce(F.get(found, i)["begin"].cast("int"), F.char_length("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i)))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))
     return both.withColumn("text", text).select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelab.llm.common import text_of
+from tracelab.llm.common import free_name, text_of
 from tracelab.session import durable
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -129,16 +129,18 @@ def sampled(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int =
 
 def kept_rows(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0) -> DataFrame:
     """The rows of docs, with their columns, that the sample keeps."""
-    names = {"source": "_source", "lang": "_lang", "topic": "_topic"}
+    names = {c: free_name(docs, f"_{c}") for c in DIMENSIONS}
+    chance = free_name(docs, "_probability")
     cells = chances(docs, share, power)
     keyed = docs
     for c in ("source", "lang"):
         keyed = keyed.withColumn(names[c], F.coalesce(F.col(c).cast("string"), F.lit("(none)")))
-    keyed = keyed.withColumn("_topic", topic_of(text_of()))
-    cells = cells.withColumnsRenamed(names).withColumnRenamed("probability", "_probability")
+    keyed = keyed.withColumn(names["topic"], topic_of(text_of()))
+    cells = cells.withColumnsRenamed(names).withColumnRenamed("probability", chance)
     n = cells.limit(CELLS_BROADCAST + 1).count()
     both = keyed.join(F.broadcast(cells) if n <= CELLS_BROADCAST else cells, list(names.values()), "left")
-    return both.where(draw(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
+    # documents without an id are told apart by their texts
+    return both.where(draw(F.coalesce("doc_id", F.xxhash64("text")), seed) < F.col(chance)).select(*docs.columns)
 
 
 def achieved(docs: DataFrame, share: float = 0.6, power: float = 0.5, seed: int = 0, targets: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ equal strings meet in one bucket. Neighbouring starts mostly have one anchor and
 4. An anchor with more than HOT kinds of segments, such as one inside a passage of a third of all documents, is not
    sorted in one task: its starts are dealt again, one by one, by a 128-bit digest of their LENGTH bytes.
 
-Null text counts as empty. Documents with a null doc_id take no part. Repeated rows are copies.
+Null text counts as empty. Null and clashing doc_ids are told apart by their texts. Repeated rows
+are copies.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import pick, records, slices, text_of
+from tracelab.llm.common import named_again, pick, records, slices, text_of, told_apart
 from tracelab.llm.suffix_sort import common_prefixes, suffix_order
 from tracelab.session import durable
 
@@ -255,7 +256,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    docs, renamed = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     told = durable(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     classes = durable(told.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     named = told.join(classes, "sha", "left")
@@ -289,10 +290,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     some = some.select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     is_whole = (F.coalesce("copies", F.lit(0)) > 1) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
-    return named.join(some, "doc_id", "left").select(
+    out = named.join(some, "doc_id", "left").select(
         "doc_id",
         "n_bytes",
         F.when(is_whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(is_whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(is_whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    return named_again(out, renamed)
