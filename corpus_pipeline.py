@@ -5,7 +5,7 @@ per document with its token count and digests. `run` writes every stage's rows a
 reads them back as the next one's documents, so that a lost executor repeats a part of one stage only.
 
 Null and empty texts pass all stages: they are not toxic, have no shingles and no secrets, and encode to no ids.
-Documents with a null doc_id are kept by the filters.
+Documents with a null doc_id, or with one that other texts share, are told apart by their texts: none is lost for it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm import byte_bpe, credentials, raking, shingle_join, toxicity
-from tracelab.llm.common import pick
 from tracelab.session import durable
 
 SHARE = 0.8  # of tokens that the mixture keeps
@@ -29,19 +28,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of similar ones; a repeated row stays once."""
-    found = durable(shingle_join.shingle_links(docs))
-    more = durable(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = pick(docs, more, "doc_id", "left_anti")
-    again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    once = pick(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return pick(kept, again, "doc_id", "left_anti").unionByName(once)
+    return shingle_join.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every reported secret masked; n_chars is that of the masked text."""
     masked = credentials.masked(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
