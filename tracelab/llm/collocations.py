@@ -30,6 +30,7 @@ from tracelab.llm.common import records, slices, text_of
 from tracelab.session import durable
 
 MOST_WORDS, LEAST_COUNT, KEEP, COVERED = 5, 100, 2000, 100
+RANK_PARTS = 64
 STOPS = b".,;:!?\n\x0b\x0c\r"
 LOOKUP_ROWS = 300_000  # frequent groups that are sent to every task; more are joined by a shuffle
 BLOCK_WORDS = 1 << 16  # occurrences in a block, or those of one document
@@ -301,8 +302,11 @@ def collocations(
             rows = rows.join(around.groupBy("id").agg(F.max("n").alias("around")), "id", "left")
             rows = rows.where(F.col("around").isNull() | (100 * F.col("around") < covered * F.col("n")))
         scored.append(rows.select("lang", "phrase", F.col("n").alias("a"), "best.l", "best.r", F.col("total").alias("n"), "best.score", "best.cut"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= keep)
+    # the best of each part of a language first, so that its last task ranks RANK_PARTS * keep phrases at most
+    parts = reduce(DataFrame.unionByName, scored).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    ranked = best(best(parts, "lang", "part"), "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "cut")
 
 
