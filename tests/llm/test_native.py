@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import by_id, documents, rows
 from tracelab.llm import credentials, multiset_hash, raking
+from tracelab.session import durable
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -167,7 +168,7 @@ def test_achieved_shares_of_the_kept_sample(spark):
     for i in range(6000):
         text = "a b c d e f g h " + ("license i" if rng.random() < 0.1 else "j k")
         data.append((i, text, rng.choice(["en", "en", "en", "de"]), rng.choices("abc", [6, 3, 1])[0], 0))
-    docs = documents(spark, data, extra=False).localCheckpoint()
+    docs = durable(documents(spark, data, extra=False))
     for share in (0.15, 0.8):  # with the rounds of the queries
         kept = raking.sampled(docs, share).where("kept").collect()
         all_kept = sum(r["tokens"] for r in kept)
