@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelab.operators import classifiers as cl
 from tracelab.operators import evaluation as ev
+from tracelab.operators import sampling as sm
 from tracelab.operators import scale as sc
 from tracelab.operators import trees as tr
 from tracelab.plans import experiment as ex
@@ -60,6 +61,20 @@ def test_separates_classes(spark, data, model_type, parameters):
         assert gain[:3].sum() > gain[3:].sum()
 
 
+def test_margins_are_held_out(data):
+    train = data.where("exampleid < 120")
+    margins = {r.exampleid: float(r.features[0]) for r in cl.held_out_margins(train, 0.1, seed=3, folds=3).collect()}
+    assert len(margins) == 120
+    folded = sm.stratified_folds(train, "exampleid", "label", 3, 3)
+    for f in range(3):  # a model of the other folds alone gives the same margins
+        _, given = cl._margin_model(folded.where(f"fold <> {f}"), 0.1)
+        for r in given(folded.where(f"fold = {f}")).collect():
+            assert margins[r.exampleid] == pytest.approx(float(r.features[0]), abs=1e-6)
+    few = train.where("label = 0 or exampleid = 0")  # one row of a class can't be held out
+    assert cl.held_out_margins(few, 0.1, seed=3).count() == few.count()
+    assert 0 <= cl.fit("SVM", {"C_reg": 0.1, "kernel": "linear"}, few).score(few).first().score <= 1
+
+
 def test_rejects_unknown_settings(data):
     with pytest.raises(ValueError):
         cl.fit("Unknown", {}, data)

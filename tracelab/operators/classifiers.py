@@ -10,6 +10,7 @@ import math
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 
 from tracelab.operators import trees
 from tracelab.operators.neighbours import nearest, vote_share
+from tracelab.operators.sampling import stratified_folds
 from tracelab.operators.scale import literal_array
 from tracelab.session import durable
 
 MAX_DEPTH = 30  # the deepest tree that Spark's own learners grow; trees of this package have no limit
 
+CALIBRATION_FOLDS = 5  # of the support-vector margins
+
 # Fixed values of the stochastic-gradient classifier.
 SGD_ALPHA = 0.0001
 SGD_L1_RATIO = 0.15
@@ -160,18 +164,38 @@ def gaussian_nb(p: dict, train: DataFrame, seed: int) -> Fitted:
     return _plain(NaiveBayes(modelType="gaussian"), train)
 
 
-def svm(p: dict, train: DataFrame, seed: int) -> Fitted:
-    """Linear support vectors; the margin becomes a probability by a one-feature logistic fit."""
-    if p["kernel"] != "linear":
-        raise ValueError("only the linear kernel is supported")
-    model = LinearSVC(regParam=1.0 / (p["C_reg"] * train.count()), standardization=False).fit(_vectors(train))
+def _margin_model(train: DataFrame, c_reg: float) -> tuple[Model, Callable[[DataFrame], DataFrame]]:
+    """A linear support-vector model, and the margins (exampleid, label, features of one) that it gives."""
+    model = LinearSVC(regParam=1.0 / (c_reg * train.count()), standardization=False).fit(_vectors(train))
 
     def margins(rows: DataFrame) -> DataFrame:
         return model.transform(_vectors(rows)).select(
             "exampleid", "label", array_to_vector(F.array(_positive("rawPrediction"))).alias("features")
         )
 
-    platt = LogisticRegression().fit(margins(train))
+    return model, margins
+
+
+def held_out_margins(train: DataFrame, c_reg: float, seed: int, folds: int = CALIBRATION_FOLDS) -> DataFrame:
+    """The margin of each training row from a model that was fitted without its fold.
+
+    There are no more folds than rows of the rarer class; with fewer than two, the model of all rows has to do.
+    """
+    rarest = train.groupBy("label").count().agg(F.min("count"), F.count("*")).first()
+    folds = min(folds, rarest[0]) if rarest[1] > 1 else 1
+    if folds < 2:
+        return _margin_model(train, c_reg)[1](train)
+    parts = durable(stratified_folds(train.select("exampleid", "label", "features"), "exampleid", "label", folds, seed))
+    held = [_margin_model(parts.where(F.col("fold") != f), c_reg)[1](parts.where(F.col("fold") == f)) for f in range(folds)]
+    return reduce(DataFrame.unionByName, held)
+
+
+def svm(p: dict, train: DataFrame, seed: int) -> Fitted:
+    """Linear support vectors; a one-feature logistic fit on held-out margins makes a probability of the margin."""
+    if p["kernel"] != "linear":
+        raise ValueError("only the linear kernel is supported")
+    model, margins = _margin_model(train, p["C_reg"])
+    platt = LogisticRegression().fit(held_out_margins(train, p["C_reg"], seed))
     coefficients = [float(x) for x in model.coefficients.toArray()]
     return Fitted(lambda rows: _scores(platt.transform(margins(rows)), _positive()), coefficients, [model, platt])
 
