@@ -38,6 +38,8 @@ HEADLINE = [
     "append_examples",
     "model_gaussian_nb",
     "model_random_forest",
+    "extra_tree_scores",
+    "decision_tree_scores",
 ]
 
 
