@@ -39,6 +39,12 @@ def records(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def numbered(split: list[list], kind: pa.DataType) -> tuple[np.ndarray, list]:
+    """The words of all texts in turn as numbers into the list of distinct words."""
+    coded = pa.array([w for words in split for w in words], kind).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -22,14 +22,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.llm.common import records, slices, text_of
+from tracelab.llm.common import numbered, records, slices, text_of
 from tracelab.session import durable
 
 SAMPLE, SCREENED, FOLDS, RIDGE = 10_000, 256, 5, 1.0
@@ -47,9 +46,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, word hash) of each distinct word of each text, sorted."""
     split = [(t or "").lower().split() for t in texts]
     sizes = [len(w) for w in split]
-    words = np.empty(sum(sizes), dtype=object)
-    words[:] = [w for ws in split for w in ws]
-    codes, distinct = pd.factorize(words)
+    codes, distinct = numbered(split, pa.large_string())
     bare = [_NO_LETTER.sub("", w) for w in distinct]
     hashed = np.array([xxhash.xxh3_64_intdigest(w.encode()) if w else 0 for w in bare], np.uint64)
     of, word = np.repeat(np.arange(len(texts)), sizes), hashed[codes] if len(codes) else np.zeros(0, np.uint64)
