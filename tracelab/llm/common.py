@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracelab.session import durable, shared_folder
 
 SLICE_BYTES = 2 << 20  # of text that a Python task holds as objects at a time
+WORD_SLICE = 1 << 19  # the same where each word of the slice is an object
 BROADCAST_ROWS = 1_000_000  # of long ids: 8 MB; a larger side is joined by a shuffle
 
 

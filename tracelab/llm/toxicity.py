@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelab.llm.common import numbered, records, slices, text_of
+from tracelab.llm.common import WORD_SLICE, numbered, records, slices, text_of
 from tracelab.session import durable
 
 SAMPLE, SCREENED, FOLDS, RIDGE = 10_000, 256, 5, 1.0
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = VERDICT, kinds: dict[
     out = pa.schema([("doc_id", pa.int64()), ("flags", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WORD_SLICE):
             of, word = word_hashes(part.column("text").to_pylist())
             edge = np.searchsorted(of, np.arange(part.num_rows + 1))
             yield records(
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WORD_SLICE):
             p = chain.scores(part.column("text").to_pylist())
             new = [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(p[:, -1] >= chain.cut_off)]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names, "is_toxic"])
