@@ -136,6 +136,43 @@ def test_runner(spark, data, tmp_path):
     assert len(ex.grid_records(ex.generate_experiments())) == 555
 
 
+def test_a_run_goes_on_where_it_was_stopped(spark, data, tmp_path, monkeypatch):
+    experiments = [ex.Experiment("GaussianNB", {}), ex.Experiment("DecisionTreeClassifier", {k: v for k, v in FOREST.items() if k != "n_estimators"})]
+    options = ex.Options(num_kfolds=3, parallel_fits=1)
+    whole = ex.train_eval_all_folds(data, experiments, options, str(tmp_path / "whole"))
+    fit, calls = ex.classifiers.fit, []
+
+    def stopping(*args):
+        calls.append(args[0])
+        if len(calls) > 2:
+            raise RuntimeError("stopped")
+        return fit(*args)
+
+    folder = str(tmp_path / "run")
+    monkeypatch.setattr(ex.classifiers, "fit", stopping)
+    with pytest.raises(RuntimeError):
+        ex.train_eval_all_folds(data, experiments, options, folder)
+    done = {(r["run"], r["fold"]) for r in rs.finished_fits(spark, folder).collect()}
+    assert done == {(0, 0), (0, 1)}
+    calls.clear()
+    monkeypatch.setattr(ex.classifiers, "fit", lambda *args: calls.append(args[0]) or fit(*args))
+    run = ex.train_eval_all_folds(data.repartition(5), experiments, options, folder)  # the rows count, not their order
+    assert calls == ["GaussianNB"] + 3 * ["DecisionTreeClassifier"]
+    order = ["model_id", "fold", "exampleid"]
+    assert run.scores.orderBy(order).collect() == whole.scores.orderBy(order).collect()
+    records = lambda r: ex.fold_records(r).orderBy("model_id", "fold").collect()
+    assert records(run) == records(whole) and len(records(run)) == 6
+    calls.clear()
+    ex.train_eval_all_folds(data, experiments, ex.Options(num_kfolds=3, parallel_fits=2), folder)
+    assert calls == []  # nothing is left to do, however many fits would go at once
+    with pytest.raises(ValueError):
+        ex.train_eval_all_folds(data, experiments, ex.Options(num_kfolds=3, seed=1), folder)
+    with pytest.raises(ValueError):
+        ex.train_eval_all_folds(data.where("exampleid > 0"), experiments, options, folder)
+    with pytest.raises(ValueError):
+        ex.train_eval_all_folds(data, experiments[:1], options, folder)
+
+
 def test_open_world_runner(spark, data):
     world = data.withColumn("hs_url", F.concat(F.lit("u"), F.col("exampleid") % 40))
     run = ex.train_eval_all_folds(world, [ex.Experiment("GaussianNB", {})], ex.Options(world="open", observed_fraction=0.5))

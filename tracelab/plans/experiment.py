@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tracelab.operators import classifiers, evaluation
 from tracelab.operators.sampling import grid, open_world_split, stratified_folds
 from tracelab.operators.scale import fold_stats, packed_stats, scale_by
-from tracelab.session import durable, shared_folder
-from tracelab.sources.results import save_fit, save_importances
+from tracelab.session import durable, exists, shared_folder
+from tracelab.sources.results import finished_fits, same_plan, save_done, save_fit, save_importances
 
 # The parameter lists of the shipped grid.
 PARAMETERS: dict[str, dict[str, list]] = {
@@ -188,20 +189,53 @@ def split(rows: DataFrame, options: Options) -> DataFrame:
     return rows.join(folds, "exampleid")
 
 
-def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options: Options = Options()) -> Run:
-    """Fit every experiment on every fold of (exampleid, label, features array[, hs_url]) rows and store the results."""
-    folded = durable(split(durable(rows), options).select("exampleid", "label", "features", "fold"))
+def _contents(rows: DataFrame) -> tuple:
+    """The number of rows and the sum of their hashes, which no order or partitioning changes."""
+    digest = F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))
+    return tuple(rows.agg(F.count(F.lit(1)), digest).first())
+
+
+def _settings(experiments: list[Experiment], options: Options) -> str:
+    """What a run folder must agree in: the grid in order and the options, but not how many fits go at once."""
+    kept = {k: v for k, v in asdict(options).items() if k != "parallel_fits"}
+    return json.dumps([kept, [e.model_id for e in experiments]], sort_keys=True)
+
+
+def _stored_folds(rows: DataFrame, options: Options, folder: str, begun: bool) -> DataFrame:
+    """The rows with their folds in the run folder; a run that goes on reads those of its first call."""
+    spark, path = rows.sparkSession, f"{folder}/folded"
+    if begun and exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path)
+    folded = split(rows, options).select("exampleid", "label", "features", "fold")
+    folded.write.mode("overwrite").parquet(path)
+    return spark.read.schema(folded.schema).parquet(path)
+
+
+def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options: Options = Options(), folder: str | None = None) -> Run:
+    """Fit every experiment on every fold of (exampleid, label, features array[, hs_url]) rows and store the results.
+
+    ``folder`` names the run. A second call with the same folder, settings and rows does only the fits that the first
+    one has not finished, and gives the same scores; other settings or rows are an error. Without it the run gets a
+    folder of its own.
+    """
+    spark = rows.sparkSession
+    named = folder is not None
+    folder = folder.rstrip("/") if named else f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = durable(rows)
+    begun = named and same_plan(spark, folder, _settings(experiments, options), *_contents(rows))
+    folded = _stored_folds(rows, options, folder, begun)
     folds = list(range(options.num_kfolds)) if options.world == "closed" else [0]
     stats = {}
     if options.feature_scaling:  # one row per fold, as wide as the vectors
         stats = {r.fold: (r.mean, r.std) for r in packed_stats(fold_stats(folded)).collect()}
-
     tasks = [(i, e, f) for i, e in enumerate(distinct_fits(experiments)) for f in folds if not stats or f in stats]
-    spark = rows.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if begun:  # as many rows as fits
+        done = {(r["run"], r["fold"]) for r in finished_fits(spark, folder).select("run", "fold").collect()}
+        tasks = [t for t in tasks if (t[0], t[2]) not in done]
 
     def one(task: tuple[int, Experiment, int]) -> None:
         i, experiment, fold = task
+        begin = time.monotonic()
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         if options.feature_scaling:
             train, test = scale_by(train, *stats[fold]), scale_by(test, *stats[fold])
@@ -212,6 +246,8 @@ def train_eval_all_folds(rows: DataFrame, experiments: list[Experiment], options
         save_importances(spark, experiment.model_id, fitted, f"{folder}/importances/run={i}/fold={fold}")
         if options.keep_models:
             save_fit(fitted, f"{folder}/models/run={i}/fold={fold}")
+        if named:
+            save_done(spark, folder, i, fold, time.monotonic() - begin)
 
     with ThreadPoolExecutor(max_workers=max(1, options.parallel_fits)) as pool:
         list(pool.map(one, tasks))

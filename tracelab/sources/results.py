@@ -10,6 +10,7 @@ from tracelab.functions.columns import moment
 from tracelab.operators.classifiers import Fitted
 from tracelab.operators.evaluation import metric_names
 from tracelab.operators.trees import Forest
+from tracelab.session import exists
 from tracelab.sources.tables import append_table
 
 
@@ -51,3 +52,33 @@ def save_importances(spark: SparkSession, model_id: str, fitted: Fitted, path: s
     rows = [(model_id, i, float(x)) for i, x in enumerate(fitted.importances if fitted.importances is not None else ())]
     spark.createDataFrame(rows, "model_id string, i int, importance double").coalesce(1).write.mode("overwrite").parquet(path)
     return path
+
+
+PLAN = "settings string, rows bigint, digest decimal(38,0)"
+DONE = "seconds double, run int, fold int"
+
+
+def same_plan(spark: SparkSession, folder: str, settings: str, rows: int, digest) -> bool:
+    """Whether the run folder has been begun with this plan; a new folder takes it, another plan is an error."""
+    if not exists(spark, f"{folder}/plan/_SUCCESS"):
+        spark.createDataFrame([(settings, rows, digest)], PLAN).coalesce(1).write.mode("overwrite").parquet(f"{folder}/plan")
+        return False
+    begun = spark.read.schema(PLAN).parquet(f"{folder}/plan").first()
+    if begun["settings"] != settings:
+        raise ValueError(f"{folder} holds a run with other settings")
+    if (begun["rows"], begun["digest"]) != (rows, digest):
+        raise ValueError(f"{folder} holds a run over other rows")
+    return True
+
+
+def save_done(spark: SparkSession, folder: str, run: int, fold: int, seconds: float) -> None:
+    """Note a fit as finished: written after all its tables, so what is noted is whole."""
+    done = spark.createDataFrame([(seconds,)], "seconds double").coalesce(1)
+    done.write.mode("overwrite").parquet(f"{folder}/done/run={run}/fold={fold}")
+
+
+def finished_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """(seconds, run, fold) of the fits that a run folder has finished."""
+    if not exists(spark, f"{folder}/done"):
+        return spark.createDataFrame([], DONE)
+    return spark.read.schema(DONE).parquet(f"{folder}/done")
