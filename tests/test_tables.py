@@ -16,7 +16,7 @@ from tracelab.sources import feature_files as ff
 from tracelab.sources import results as rs
 from tracelab.sources import tables as tb
 from tracelab.sources import trace_log as tl
-from tracelab.streaming.trace_stream import append_new_logs
+from tracelab.streaming.trace_stream import append_all_records, append_new_logs, stored_cells, stored_rejects
 
 NOW = datetime(2016, 8, 1)
 
@@ -155,6 +155,28 @@ def test_odd_log_records(spark, tmp_path):
         tl.read_trace_logs(spark, str(tmp_path / "a"))
 
 
+def test_stream_keeps_rejected_records(spark, tmp_path):
+    logs, table = tmp_path / "logs", str(tmp_path / "t")
+    run = lambda: append_all_records(spark, str(logs), table, str(tmp_path / "s")).awaitTermination()
+    told = lambda: (rows(stored_cells(spark, table)), rows(stored_rejects(spark, table)))
+    (logs / "a").mkdir(parents=True)
+    (logs / "a" / "8.log").write_text("17 INCOMING 4 5 RELAY 66\n\n1.0 INCOMING CIRC 1\n\n \n\n")
+    run()
+    first = ([(8, True, 4, 5, "RELAY", 66, 17_000_000)], [(8, "1.0 INCOMING CIRC 1")])
+    assert told() == first
+    run()  # nothing is new
+    assert told() == first
+    (logs / "a" / "9.log").write_text("soon OUTGOING 4 5 RELAY 66\n\n2 OUTGOING 4 5 RELAY 66")
+    run()
+    assert told() == (first[0] + [(9, False, 4, 5, "RELAY", 66, 2_000_000)], first[1] + [(9, "soon OUTGOING 4 5 RELAY 66")])
+    seen = told()
+    (logs / "b").mkdir()
+    (logs / "b" / "8.log").write_text("3 OUTGOING 4 5 RELAY 66")  # a trace of an earlier batch
+    with pytest.raises(ValueError):
+        run()
+    assert told() == seen
+
+
 def test_appends(spark, tmp_path):
     sites = spark.createDataFrame([("c", "u2"), ("c", "u1")], "sorted_class string, hs_url string").selectExpr(
         "*", "true as is_sd", "'v' as sd_version", "true as is_current", "timestamp_ntz '2017-01-01' as t_sort"

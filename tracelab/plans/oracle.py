@@ -432,6 +432,10 @@ ORACLE |= {
                 case when cellid % 5 = 3 then -length else length end as length,
                 case when cellid % 5 = 2 then t_us // 1000000 * 1000000 else t_us end as t_us
          from traces where cellid % 5 <> 4""",
+    "log_stream_rejected": _with(TRACES)
+    + """select exampleid, printf('%d.%06d %s CIRC %d, STREAM %d, COMMAND %s', t_us // 1000000, t_us % 1000000,
+                                  case when ingoing then 'INCOMING' else 'OUTGOING' end, circuit, stream, command) as value
+         from traces where cellid % 5 = 4""",
     "append_sites": _with(CLASSES)
     + """, new as (select split_part(url, 'onion', 1) || 'onion' as hs_url, contains(class_name, 'sd') as is_sd, class_name as sorted_class
                    from classes where class_name is not null)
@@ -467,3 +471,4 @@ ORACLE |= {
     + f"""select 'n_chars' as model_id, g as fold, timestamp '2001-08-02' as fold_timestamp,
           round(max(auc), 6) as auc, {_RECORD} from quality join area using (g) group by g""",
 }
+ORACLE["log_stream_odd"] = ORACLE["log_ingest"]  # the same records by another reader

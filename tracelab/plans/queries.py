@@ -28,7 +28,7 @@ from tracelab.sources import feature_files as ff
 from tracelab.sources import results as rs
 from tracelab.sources import tables as tb
 from tracelab.sources import trace_log as tl
-from tracelab.streaming.trace_stream import append_new_logs
+from tracelab.streaming.trace_stream import append_all_records, append_new_logs, stored_cells, stored_rejects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -609,11 +609,9 @@ def _scratch(spark):
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query
-def log_ingest(spark, folder):
-    """Traces written as text logs, by turns as written by default, without labels, with whole seconds, with negative
-    numbers, and with a field missing; then read back by the log reader."""
-    path = _scratch(spark)
+def _odd_lines(spark, folder):
+    """Traces as text records, by turns as written by default, without labels, with whole seconds, with negative
+    numbers, and with a field missing."""
     lines = tl.log_lines(src.traces(spark, folder).withColumn("_turn", F.col("cellid") % 5), "_turn")
     turn, value = F.col("_turn"), F.col("value")
     value = (
@@ -623,7 +621,14 @@ def log_ingest(spark, folder):
         .when(turn == 4, F.regexp_replace(value, r", length \d+$", ""))
         .otherwise(value)
     )
-    tl.write_log_lines(lines.select("exampleid", value.alias("value")), path)
+    return lines.select("exampleid", value.alias("value"))
+
+
+@query
+def log_ingest(spark, folder):
+    """Odd records written as text logs, then read back by the log reader."""
+    path = _scratch(spark)
+    tl.write_log_lines(_odd_lines(spark, folder), path)
     return tl.read_trace_logs(spark, path)
 
 
@@ -636,6 +641,29 @@ def log_stream(spark, folder):
     return spark.read.parquet(f"{path}/cells")
 
 
+def _odd_stream(spark, folder):
+    """The table of a stream over odd records that arrive in two parts, with a run after each and one more."""
+    path = _scratch(spark)
+    lines = _odd_lines(spark, folder)
+    for part in (0, 1, None):
+        if part is not None:
+            tl.write_log_lines(lines.where(F.col("exampleid") % 2 == part), f"{path}/logs/{part}")
+        append_all_records(spark, f"{path}/logs", f"{path}/records", f"{path}/state").awaitTermination()
+    return f"{path}/records"
+
+
+@query
+def log_stream_odd(spark, folder):
+    """The whole records of that stream."""
+    return stored_cells(spark, _odd_stream(spark, folder))
+
+
+@query
+def log_stream_rejected(spark, folder):
+    """The rejected records of that stream, as they stand in the logs."""
+    return stored_rejects(spark, _odd_stream(spark, folder))
+
+
 @query
 def feature_files(spark, folder):
     """Instances written as feature files, then read back; half of them start at number 5."""

@@ -35,13 +35,8 @@ def _fields(lines: DataFrame) -> DataFrame:
     return rows.withColumn("_whole", F.coalesce(whole, F.lit(False)))
 
 
-def parse_records(lines: DataFrame, exampleid: Column) -> DataFrame:
-    """Cells from text records in ``value``: every record of six fields with numbers where they belong.
-
-    Labels and commas may be absent; times may be whole, fractional or in exponent form; numbers may be negative.
-    ``rejected_records`` gives the others.
-    """
-    return _fields(lines).where("_whole").select(
+def _cells(exampleid: Column) -> list[Column]:
+    return [
         exampleid.cast("bigint").alias("exampleid"),
         (F.col("_direction") == INCOMING).alias("ingoing"),
         F.col("_circuit").alias("circuit"),
@@ -49,7 +44,28 @@ def parse_records(lines: DataFrame, exampleid: Column) -> DataFrame:
         F.col("_command").alias("command"),
         F.col("_length").alias("length"),
         F.col("_time").alias("t_us"),
-    )
+    ]
+
+
+def parse_records(lines: DataFrame, exampleid: Column) -> DataFrame:
+    """Cells from text records in ``value``: every record of six fields with numbers where they belong.
+
+    Labels and commas may be absent; times may be whole, fractional or in exponent form; numbers may be negative.
+    ``rejected_records`` gives the others.
+    """
+    return _fields(lines).where("_whole").select(*_cells(exampleid))
+
+
+def told_records(lines: DataFrame, exampleid: Column) -> DataFrame:
+    """Every record that is not blank, once: the columns of a cell, its text, and whether it is whole.
+
+    A rejected record has its text and the number of its trace alone; a whole one has no text.
+    """
+    rows = _fields(lines).where(F.size("_t") > 0)
+    number, *values = _cells(exampleid)
+    names = ("ingoing", "circuit", "stream", "command", "length", "t_us")
+    values = [F.when(F.col("_whole"), v).alias(name) for v, name in zip(values, names)]
+    return rows.select(number, *values, F.when(~F.col("_whole"), F.col("value")).alias("value"), F.col("_whole").alias("whole"))
 
 
 def rejected_records(lines: DataFrame) -> DataFrame:
@@ -86,6 +102,20 @@ def stream_trace_logs(spark: SparkSession, path: str, trace_id: str = TRACE_ID)
     return parse_records(lines.select("value", _trace_id(trace_id).alias("_trace")), F.col("_trace"))
 
 
+def stream_all_records(spark: SparkSession, path: str, trace_id: str = TRACE_ID) -> DataFrame:
+    """``told_records`` of each new log file, as a stream."""
+    lines = spark.readStream.option("lineSep", BETWEEN).option("recursiveFileLookup", True).text(path)
+    return told_records(lines.select("value", _trace_id(trace_id).alias("_trace")), F.col("_trace"))
+
+
+def clashing_logs(spark: SparkSession, path: str, trace_id: str = TRACE_ID) -> DataFrame:
+    """(trace, first_log, last_log) of trace numbers that several logs have, from the file names alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    named = files.select(F.regexp_extract("path", trace_id, 1).alias("trace"), F.regexp_replace("path", "/part-[^/]*$", "").alias("log"))
+    ends = named.groupBy("trace").agg(F.min("log").alias("first_log"), F.max("log").alias("last_log"))
+    return ends.where("first_log <> last_log")
+
+
 def log_lines(cells: DataFrame, *keep: str) -> DataFrame:
     """Cells as text records: (exampleid, value, and columns to keep)."""
     value = F.format_string(
