@@ -59,6 +59,20 @@ def test_classes_equal_brute_force(spark, monkeypatch, tokens):
     assert by_id(out, "doc_id", "n_shingles", "component_id", "n_links") == brute_classes(data)
 
 
+def test_stragglers_of_a_family_keep_their_links(spark, monkeypatch):
+    """Heavily changed copies, so that many share too few least hashes with the family, and chains off its edge."""
+    rng = random.Random(5)
+    base, data = prose(rng, 90).split(), []
+    for k in range(60):
+        words = list(base) if k % 3 else data[rng.randrange(len(data))][1].split() if data else list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        data.append((k, " ".join(words), "en", "s", 0))
+    monkeypatch.setattr(shingle_join, "ROUNDS", 1)  # leaves more of them outside the large group
+    out = shingle_join.shingle_links(documents(spark, data))
+    assert by_id(out, "doc_id", "n_shingles", "component_id", "n_links") == brute_classes(data)
+
+
 def test_classes_of_repeated_rows_and_of_none(spark):
     data = rows()
     twice = shingle_join.shingle_links(documents(spark, data + data[:5]))
