@@ -1,6 +1,7 @@
 """Neighbour search against brute force, also with copies, missing values and many blocks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tracelab.operators import neighbours as nb
@@ -50,6 +51,34 @@ def test_nearest_is_exact(spark, blocked, metric, relations, missing):
     assert got == brute(rows, 4, weights, metric, relations, missing)
 
 
+@pytest.mark.parametrize("metric,missing", [("manhattan", -1.0), ("manhattan", None), ("euclidean", None)])
+def test_few_rows_of_a_block_are_measured(monkeypatch, metric, missing):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 12))
+    x[::50] = x[0]  # copies: ties by id
+    if missing is not None:
+        x[rng.random(x.shape) < 0.1] = missing
+    asked = x[:60] + 0.01 * (np.arange(60) % 3)[:, None]
+    asked[7] *= 40.0  # beyond the ends of every feature
+    weights = rng.random(12)
+    held = pd.DataFrame({"id": rng.permutation(6000), "site": np.arange(6000) % 4, "features": list(x)})
+    queries = pd.DataFrame({"id": held["id"][:60], "site": held["site"][:60], "features": list(asked)})
+    measured = []
+    exact = nb._distances
+    monkeypatch.setattr(nb, "_distances", lambda point, block, *rest: measured.append(len(block)) or exact(point, block, *rest))
+    found = nb._Block(held, weights, metric, missing).search(queries, 5, nb.RELATIONS)
+    assert sum(measured) < 0.2 * 60 * 3 * 6000
+    for relation, one in found.groupby("relation"):
+        for qid, got in one.groupby("id"):
+            q = int(np.flatnonzero(queries["id"] == qid)[0])
+            d = exact(asked[q], x, weights, metric, missing)
+            fit = held["id"] != qid
+            if relation != "any":
+                fit &= (held["site"] == queries["site"][q]) == (relation == "same")
+            best = sorted(zip(d[fit], held["id"][fit]))[:5]
+            assert sorted(zip(got["dist"], got["neighbour"])) == best
+
+
 def test_block_meetings_are_few(spark):
     rng = np.random.default_rng(8)
     centres = rng.uniform(-200, 200, size=(25, 5))
