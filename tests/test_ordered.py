@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracelab.operators import ordered
 from tracelab.operators.ordered import OrderedGroups
 
 
@@ -29,3 +30,15 @@ def test_plans_of_sliced_groups_stay_short(spark):
         g = g.running(sums={f"s{n}": F.col("v")}).previous(**{f"p{n}": F.col("v")})
     plan = g.rows()._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") <= 5 and plan.count("Join") <= 6
+
+
+def test_wide_rows_of_slices_are_written_and_moved_once(spark, monkeypatch):
+    written = []
+    store = ordered.durable
+    monkeypatch.setattr(ordered, "durable", lambda df: written.append(df.columns) or store(df))
+    df = spark.createDataFrame([(i, (i * 7919) % 50, "x" * 50) for i in range(300)], "id bigint, t int, wide string")
+    numbered = OrderedGroups(df, [], ["t", "wide", "id"], 40).running(sums={"n": F.lit(1)}).rows().select("id", "n")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and "SortMergeJoin" not in plan and "wide" not in plan
+    ranks = {i: n for n, (_, i) in enumerate(sorted(((i * 7919) % 50, i) for i in range(300)), 1)}
+    assert {r.id: r.n for r in numbered.collect()} == ranks
