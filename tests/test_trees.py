@@ -1,5 +1,7 @@
 """Grown trees: the same wherever a node is split, exact rules, no limit of depth, storing."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -104,3 +106,26 @@ def test_forest_is_stored_and_read(spark, data, tmp_path):
     assert sum(forest.importances()) == pytest.approx(1)
     with pytest.raises(ValueError):
         tr.grow(df.limit(0), SPECS[0])
+
+
+def test_the_driver_sees_splits_and_thresholds_alone(data, monkeypatch):
+    """Neither the ends and counts of nodes nor the sample of rows."""
+    df, rows = data
+    whole = [shape(tr.grow(df, spec)) for spec in SPECS]
+    sent = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows came to the driver"))
+    for spec, expected in zip(SPECS, whole):
+        assert shape(tr.grow(df, spec, local_values=1)) == expected
+    assert max(map(len, sent)) <= tr.NODE_BATCH
+    monkeypatch.setattr(tr, "SAMPLE_VALUES", 6 * 100)  # 100 of 300 rows
+    cuts = tr.cut_points(df, 6, 5)
+    chosen = sorted(rows, key=lambda r: hashlib.md5(f"cuts5:{r[0]}".encode()).hexdigest())[:100]
+    for i, c in enumerate(cuts):
+        values = np.array([r[2][i] for r in chosen])
+        own = np.unique(values)
+        if len(own) > tr.BINS:
+            assert list(c) == list(np.unique(np.quantile(values, np.linspace(0, 1, tr.BINS + 1), method="lower"))[1:-1])
+        else:
+            assert list(c) == list((own[1:] + own[:-1]) / 2)
