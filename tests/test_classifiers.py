@@ -200,3 +200,19 @@ def test_registered_ensembles_run_a_point_of_the_shipped_grid(monkeypatch, name)
         queries.QUERIES[name](None, "")
     shipped = {e.model_id for e in ex.generate_experiments(list(ex.PARAMETERS))}
     assert [e.model_id for e in asked if e.model_id in shipped] and len(asked) == 1
+
+
+def test_huber_steps_read_packed_rows(spark, data):
+    """The rows are made a few times, not once a step."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = data.where("exampleid < 160").withColumn("features", counted("features"))
+    fitted = cl.modified_huber("l1", rows)
+    assert made.value <= 6 * 160
+    plain = cl.modified_huber("l1", data.where("exampleid < 160"))
+    assert np.allclose(fitted.importances, plain.importances, atol=1e-9) and len(fitted.importances) == 6
