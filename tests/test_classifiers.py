@@ -216,3 +216,19 @@ def test_huber_steps_read_packed_rows(spark, data):
     assert made.value <= 6 * 160
     plain = cl.modified_huber("l1", data.where("exampleid < 160"))
     assert np.allclose(fitted.importances, plain.importances, atol=1e-9) and len(fitted.importances) == 6
+
+
+@pytest.mark.parametrize("world", ["open", "closed"])
+def test_splits_broadcast_no_wide_rows(spark, tmp_path, world):
+    """Rows that pack well look small in a file, but each is as wide as its vector."""
+    wide = spark.range(400).select(
+        F.col("id").alias("exampleid"),
+        (F.col("id") % 3 == 0).cast("int").alias("label"),
+        F.concat(F.lit("u"), F.col("id") % 40).alias("hs_url"),
+        F.array_repeat(F.lit(0.0), 500).alias("features"),
+    )
+    wide.write.parquet(str(tmp_path / "w"))
+    divided = ex.split(spark.read.parquet(str(tmp_path / "w")), ex.Options(world=world, num_kfolds=4))
+    assert divided.count() == 400
+    plan = divided._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
