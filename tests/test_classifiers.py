@@ -232,3 +232,15 @@ def test_splits_broadcast_no_wide_rows(spark, tmp_path, world):
     assert divided.count() == 400
     plan = divided._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in plan
+
+
+@pytest.mark.parametrize("name,p", [("SVM", {"C_reg": 0.1, "kernel": "linear"}), ("LogisticRegression", {"C_reg": 0.1, "penalty": "l2"}), ("SGDClassifier", {"loss": "log", "penalty": "l2"})])
+def test_steps_of_linear_learners_on_few_rows_are_one_task(spark, data, name, p):
+    group = f"few-{name}"
+    spark.sparkContext.setJobGroup(group, group)
+    fitted = cl.fit(name, p, data.where("exampleid < 160").repartition(24).localCheckpoint(), seed=1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
+    assert np.median([s.numTasks for s in stages if s]) == 1
+    assert ev.auc(fitted.score(data.where("exampleid >= 160"))).first().auc > 0.75
