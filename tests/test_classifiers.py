@@ -244,3 +244,32 @@ def test_steps_of_linear_learners_on_few_rows_are_one_task(spark, data, name, p)
     stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
     assert np.median([s.numTasks for s in stages if s]) == 1
     assert ev.auc(fitted.score(data.where("exampleid >= 160"))).first().auc > 0.75
+
+
+def counting(rows, column):
+    """The rows with a count of how often they were computed."""
+    seen = rows.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf(rows.schema[column].dataType)
+    def counted(x):
+        seen.add(1)
+        return x
+
+    return rows.withColumn(column, counted.asNondeterministic()(column)), seen
+
+
+@pytest.mark.parametrize(
+    ("model_type", "parameters"),
+    [
+        ("RandomForestBagging", {**FOREST, **BAG}),
+    ],
+)
+def test_ensembles_compute_the_wide_rows_once(spark, data, model_type, parameters):
+    rows = data.repartition(8).localCheckpoint()
+    counted, seen = counting(rows, "features")
+    fitted = cl.fit(model_type, parameters, counted, 3)
+    assert seen.value <= 1.5 * rows.count()  # the first row is asked for alone
+    plain = cl.fit(model_type, parameters, rows, 3)
+    assert fitted.importances == plain.importances
+    a, b = ({r["exampleid"]: r["score"] for r in f.score(rows).collect()} for f in (fitted, plain))
+    assert a == b
