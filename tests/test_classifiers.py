@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseVector, SparseVector
 from pyspark.sql import functions as F
 
 from tracelab.operators import classifiers as cl
@@ -262,6 +263,7 @@ def counting(rows, column):
     ("model_type", "parameters"),
     [
         ("RandomForestBagging", {**FOREST, **BAG}),
+        ("GradientBoostingClassifier", {"n_estimators": 3, "learning_rate": 0.1, "subsample": 0.5, "max_depth": 3}),
     ],
 )
 def test_ensembles_compute_the_wide_rows_once(spark, data, model_type, parameters):
@@ -273,3 +275,10 @@ def test_ensembles_compute_the_wide_rows_once(spark, data, model_type, parameter
     assert fitted.importances == plain.importances
     a, b = ({r["exampleid"]: r["score"] for r in f.score(rows).collect()} for f in (fitted, plain))
     assert a == b
+
+
+def test_boosted_rows_are_stored_sparse(spark):
+    rows = spark.createDataFrame([(1, 0, [0.0] * 30 + [2.0, -1.5]), (2, 1, [float(i + 1) for i in range(32)])], "exampleid long, label int, features array<double>")
+    out = {r["exampleid"]: r["features"] for r in cl._compressed(rows).collect()}
+    assert isinstance(out[1], SparseVector) and isinstance(out[2], DenseVector)
+    assert out[1].toArray().tolist() == [0.0] * 30 + [2.0, -1.5] and out[2].toArray().tolist() == list(range(1, 33))
