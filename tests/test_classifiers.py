@@ -277,6 +277,22 @@ def test_ensembles_compute_the_wide_rows_once(spark, data, model_type, parameter
     assert a == b
 
 
+def test_boosting_asks_each_model_for_its_rows_once(spark, data, monkeypatch):
+    stored, counts = cl.durable, []
+
+    def durable(df):
+        counted, seen = counting(stored(df), "label")
+        counts.append(seen)
+        return counted
+
+    monkeypatch.setattr(cl, "durable", durable)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    p = {**FOREST, "algorithm": "SAMME.R", "learning_rate": 0.5, "n_estimators_boost": 4}
+    cl.fit("RandomForestBoosting", p, data, 3)
+    assert len(counts) == 1 and counts[0].value <= 7 * data.count()  # the first model's passes and one more
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_boosted_rows_are_stored_sparse(spark):
     rows = spark.createDataFrame([(1, 0, [0.0] * 30 + [2.0, -1.5]), (2, 1, [float(i + 1) for i in range(32)])], "exampleid long, label int, features array<double>")
     out = {r["exampleid"]: r["features"] for r in cl._compressed(rows).collect()}
