@@ -121,6 +121,18 @@ def test_library_coder_cuts_like_the_library(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
 
 
+def test_library_coder_asks_for_a_common_word_once(library, monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO_WORDS", 3)  # far fewer than the words
+    coder = token_store.LibraryCoder(content("byte_bpe_50k.json"), PATTERN)
+    asked = []
+    ask = coder.model_ids
+    monkeypatch.setattr(coder, "model_ids", lambda words: asked.extend(words) or ask(words))
+    texts = [f"in zygotic{chr(97 + i)} ebullience, ebullience the{chr(97 + i)}. ebullience." for i in range(20)]
+    for text in texts:
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked.count(" ebullience") == 1
+
+
 def test_token_counts_and_cache(spark, library):
     data = rows() + [(9001, "see <|endoftext|> here", "en", "s", 22)]
     cache = scratch_path(spark)

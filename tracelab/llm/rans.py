@@ -76,18 +76,22 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY
     if n and not freq.all():
         raise ValueError("an id is not in the frequency table")
     x = np.full(lanes, _LOW)
+    other = np.uint64(1 << BITS) - freq
     chunks, states, left = [], [], []
     count = 0
     for r in range(rows - 1, -1, -1):
         f = freq[r]
-        full = (x >> _ROOM) >= f
-        if full.any():
-            out = x[full].astype(np.uint32)
-            chunks.append(out)
+        full = np.flatnonzero((x >> _ROOM) >= f)
+        if len(full):
+            out = x[full]
+            chunks.append(out.astype(np.uint32))
             count += len(out)
-            x[full] >>= _WORD
+            x[full] = out >> _WORD
+        # quotient << BITS, plus remainder, plus start
         q = x // f
-        x = (q << _BITS) + (x - q * f) + start[r]
+        q *= other[r]
+        x += q
+        x += start[r]
         if r % every == 0:
             states.append(x.copy())
             left.append(count)
@@ -107,14 +111,16 @@ def decode_segment(block: Block, k: int, table: Table) -> np.ndarray:
     at, mask, out = block.at[k], np.uint64((1 << BITS) - 1), []
     for _ in range(-(-n // lanes)):
         slot = x & mask
-        ids = table.id_at[slot.astype(np.int64)]
+        ids = table.id_at.take(slot.view(np.int64))
         out.append(ids)
-        x = table.freq[ids] * (x >> _BITS) + slot - table.start[ids]
-        low = x < _LOW
-        need = int(np.count_nonzero(low))
-        if need:
-            x[low] = (x[low] << _WORD) | words[at : at + need]
-            at += need
+        x >>= _BITS
+        x *= table.freq.take(ids)
+        x += slot
+        x -= table.start.take(ids)
+        low = np.flatnonzero(x < _LOW)
+        if len(low):
+            x[low] = (x[low] << _WORD) | words[at : at + len(low)]
+            at += len(low)
     ids = np.concatenate(out)[:n].astype(np.uint32) if out else np.zeros(0, np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != block.crcs[k]:
         raise ValueError(f"segment {k} fails its checksum")

@@ -14,8 +14,11 @@ lost executor do not encode them again. Only packed ids are shuffled.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,10 @@ from tracelab.llm.common import per_process, records, slices
 from tracelab.session import durable
 
 #: Texts of these characters alone are split here; their classes are the same in every version of Unicode. No white
-#: space but the blank and the line end; with no blank beside either, a text may be cut before each blank.
+#: space but the blank and the line end.
 _PLAIN = regex.compile(r"[\n\x20-\x7e\u00a1-\u017f\u2018-\u201d]*+")
-_BESIDE = ("  ", " \n", "\n ")
 SHARD_TOKENS, MOST_SHARDS = 4 << 20, 20_000
-MEMO_WORDS, MEMO_PIECES = 200_000, 400_000  # distinct pre-tokens and blank-separated pieces that a worker remembers
+MEMO_WORDS = 400_000  # distinct pre-tokens that a worker remembers, and as many older ones
 _PACKED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
 BLOCKS = T.StructType(
     [
@@ -64,10 +66,20 @@ _BLOCKS = pa.schema(
 )
 
 
+def _plain_split(pattern: str):
+    """Split plain texts as `pattern` does. Letters and numbers are spelled out, for Python's faster own expressions."""
+    letters, numbers = (
+        "".join(re.escape(c) for c in map(chr, range(0x2020)) if _PLAIN.fullmatch(c) and regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}")
+    )
+    bare = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\p{L}", letters).replace(r"\p{N}", numbers), pattern)
+    bare = bare.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return (regex if r"\p" in bare else re).compile(bare).findall
+
+
 class LibraryCoder:
-    """Ids by the tokenizers library. For a tokenizer whose pre-tokens never merge with each other, a plain text is cut
-    before its blanks, each distinct piece is split once by the pattern, and the library meets each distinct pre-token
-    once; texts with other characters or with a special string go to the library whole."""
+    """Ids by the tokenizers library. For a tokenizer whose pre-tokens never merge with each other, a plain text is split
+    by the pattern, and the library meets each distinct pre-token once, as far as a worker remembers; texts with other
+    characters or with a special string go to the library whole."""
 
     def __init__(self, data: bytes, pattern: str | None):
         import os
@@ -78,15 +90,16 @@ class LibraryCoder:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = regex.compile(pattern).findall if pattern else None
+        self.split = _plain_split(pattern) if pattern else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letter = {}  # the library's character for each byte
         if pattern:
             for c in map(chr, (*range(0x180), *range(0x2018, 0x201E))):
                 spelled = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
                 self.letter |= {b: x for b, x in zip(c.encode(), spelled)}
+        # the ids of pre-tokens; `older` holds those remembered before
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}  # of what follows a blank, the blank included
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         ids = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
@@ -99,18 +112,21 @@ class LibraryCoder:
         spelled = (
             w.replace(" ", blank) if w.isascii() and "\n" not in w else w.encode().decode("latin-1").translate(letter) for w in words
         )
-        return [struct.pack(f"<{len(x)}I", *[t.id for t in x]) for x in map(tokenize, spelled)]
+        ids, ends = array("I"), [0]
+        for tokens in map(tokenize, spelled):
+            ids.extend([t.id for t in tokens])
+            ends.append(4 * len(ids))
+        data = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
+        return [data[a:b] for a, b in pairwise(ends)]
 
     def split_up(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        pieces, new = self.pieces, []
-        for w in set().union(*split).difference(self.words):
-            if w[0] == " " and w[1:] in pieces and w[1:].isalpha():
-                self.words[w] = pieces[w[1:]]
-            else:
-                new.append(w)
+            self.words, self.older = {}, self.words
+        new = set().union(*split).difference(self.words)
+        back = [w for w in new if w in self.older]
+        self.words.update(zip(back, map(self.older.__getitem__, back)))
+        new = list(new.difference(back))
         self.words.update(zip(new, self.model_ids(new)))
         known = self.words.__getitem__
         return [b"".join(map(known, w)) for w in split]
@@ -118,20 +134,8 @@ class LibraryCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self.whole(texts)
-        avoid = (*self.special, *_BESIDE)
-        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in avoid) for t in texts]
-        cut = [t.split(" ") for t, p in zip(texts, plain) if p]
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
-        heads = [c.pop(0) for c in cut]
-        new = set().union(*cut).difference(self.pieces)
-        letters = [w for w in new if w.isalpha()]  # a blank and letters are one pre-token
-        self.pieces.update(zip(letters, self.model_ids([" " + w for w in letters])))
-        others = [w for w in new if not w.isalpha()]
-        ids = self.split_up([" " + w for w in others] + heads)
-        self.pieces.update(zip(others, ids))
-        known = self.pieces.__getitem__
-        short = iter([head + b"".join(map(known, c)) for head, c in zip(ids[len(others) :], cut)])
+        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        short = iter(self.split_up([t for t, p in zip(texts, plain) if p]))
         rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         return [next(short) if p else next(rest) for p in plain]
 
@@ -151,10 +155,13 @@ def packed_ids(docs: DataFrame, tokenizer: bytes, end: int, pattern: str | None
         total = np.zeros(0, np.int64)
         for part in slices(batches, "text"):
             ids = [x + tail for x in coder.encode([t or "" for t in part.column("text").to_pylist()])]
-            own = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+            joined = b"".join(ids)
+            own = np.bincount(np.frombuffer(joined, "<u4"), minlength=len(total))
             own[: len(total)] += total
             total = own
-            planes = [np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes() for x in ids]
+            turned = np.ascontiguousarray(np.frombuffer(joined, np.uint8).reshape(-1, 4).T)
+            ends = list(accumulate((len(x) // 4 for x in ids), initial=0))
+            planes = [turned[:, a:b].tobytes() for a, b in pairwise(ends)]
             k = len(ids)
             yield records(
                 _PACKED, doc_id=part.column("doc_id"), n_tokens=[len(x) // 4 for x in ids],
