@@ -131,6 +131,10 @@ def test_library_coder_asks_for_a_common_word_once(library, monkeypatch):
     for text in texts:
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert asked.count(" ebullience") == 1
+    long = "x" * 5000
+    for _ in range(2):
+        assert np.frombuffer(coder.encode([f"in {long}"])[0], "<u4").tolist() == library.encode(f"in {long}", add_special_tokens=False).ids
+    assert not any(len(w) > 100 for w in (*coder.words, *coder.older))
 
 
 def test_token_counts_and_cache(spark, library):

@@ -37,7 +37,7 @@ from tracelab.session import durable
 #: space but the blank and the line end.
 _PLAIN = regex.compile(r"[\n\x20-\x7e\u00a1-\u017f\u2018-\u201d]*+")
 SHARD_TOKENS, MOST_SHARDS = 4 << 20, 20_000
-MEMO_WORDS = 400_000  # distinct pre-tokens that a worker remembers, and as many older ones
+MEMO_WORDS, MEMO_LETTERS = 400_000, 64  # distinct pre-tokens that a worker remembers, and as many older ones; their length
 _PACKED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
 BLOCKS = T.StructType(
     [
@@ -129,7 +129,11 @@ class LibraryCoder:
         new = list(new.difference(back))
         self.words.update(zip(new, self.model_ids(new)))
         known = self.words.__getitem__
-        return [b"".join(map(known, w)) for w in split]
+        ids = [b"".join(map(known, w)) for w in split]
+        for w in new:
+            if len(w) > MEMO_LETTERS:
+                del self.words[w]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
