@@ -171,3 +171,13 @@ def test_removal_of_repeated_rows_and_of_none(spark):
         n = len((t or "").encode())
         assert got[i] == (n if n >= 400 else 0)
     assert suffix_dedup.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_groups_are_opened_in_bounded_rounds(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "ROUND_TOKENS", 4000)
+    opened, kept = [], shingle_join._sets_of
+    monkeypatch.setattr(shingle_join, "_sets_of", lambda docs: opened.append(1) or kept(docs))
+    data = rows() + family(40, 2)
+    out = shingle_join.shingle_links(documents(spark, data))
+    assert by_id(out, "doc_id", "n_shingles", "component_id", "n_links") == brute_classes(data)
+    assert len(opened) > 1
