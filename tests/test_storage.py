@@ -6,11 +6,14 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, rows
+from tests.test_classifiers import counting
 from tests.test_neighbours import SCHEMA, brute, points
 from tracelab.llm import shingle_join
+from tracelab.operators import classifiers as cl
 from tracelab.operators import neighbours as nb
 from tracelab.operators import weights as wt
 from tracelab.plans import experiment as ex
@@ -116,3 +119,16 @@ def test_fits_and_rounds_leave_only_their_results(spark, monkeypatch):
     before = stored(spark)
     assert len(wt.learn_weights(instances, rounds=1)) == 3
     assert stored(spark) == before
+
+
+def test_support_vectors_read_and_scale_their_rows_once(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, i % 2, [float(v) for v in rng.normal(size=4) + i % 2]) for i in range(80)]
+    df = spark.createDataFrame(data, "exampleid bigint, label int, features array<double>")
+    plain = LinearSVC(regParam=1.0 / (0.01 * 80), standardization=False).fit(cl._vectors(df).coalesce(1))
+    counted, seen = counting(df, "features")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model, _ = cl._margin_model(counted, 0.01)
+    assert seen.value <= 80 + 2 * df.rdd.getNumPartitions() + 80  # one pass, and what the count and the first row may ask
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert list(model.coefficients) == list(plain.coefficients) and model.intercept == plain.intercept
